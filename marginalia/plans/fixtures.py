@@ -366,6 +366,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql
     views = ",\n".join(f"{name} as ({known[name]}\n)" for name in ordered)
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return f"with {views},\n{body[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{views},\n{body[len(start):]}"
     return f"with {views}\n{body}"

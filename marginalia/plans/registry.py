@@ -6,7 +6,7 @@ import importlib
 
 from marginalia.plans.fixtures import with_views
 
-GROUPS = ("usage",)
+GROUPS = ("usage", "text", "lifecycle")
 
 
 def _groups():
