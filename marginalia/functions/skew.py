@@ -54,3 +54,26 @@ def previous_by_bucket(
     return joined.withColumn(
         out, F.when(first, F.col("_carry")).otherwise(F.lag("_value").over(inside))
     ).select(*df.columns, out)
+
+
+def last_n_before(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, n: int, out: str
+) -> DataFrame:
+    """Add ``out``: the ``n`` values before this row within the key, oldest first.
+
+    Inside a bucket a short window frame collects them; what is missing comes from the last ``n`` values
+    of the buckets before it, of which each bucket keeps no more than ``n``.
+    """
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value).withColumn("_o", F.struct(*order))
+    newest = W.partitionBy(*keys, "_bucket").orderBy(F.col("_o").desc())
+    tails = rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n)
+    tails = tails.groupBy(*keys, "_bucket").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_value"))), lambda s: s["_value"]).alias("_tail")
+    )
+    chain = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(-n, -1)
+    carried = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(chain))).drop("_tail")
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_o").rowsBetween(-n, -1)
+    joined = rows.join(carried, [*keys, "_bucket"]).withColumn("_near", F.collect_list("_value").over(inside))
+    both = F.concat("_carry", "_near")
+    kept = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n))
+    return joined.withColumn(out, kept).select(*df.columns, out)

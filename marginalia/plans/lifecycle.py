@@ -232,7 +232,7 @@ select chunk_id, doc_id, superseded or status = 'failed' as superseded from fx_c
     "ver_03_kept_chunks": f"select chunk_id, doc_id, superseded from fx_chunk where chunk_id not in ({_PURGE})",
     "ver_03_purged_count": f"select tenant_id, count(*) as purged from fx_chunk where chunk_id in ({_PURGE}) group by 1",
     "ver_04_reembed_coverage": """
-select tenant_id, kb_id, count(*) as chunks, count(v.chunk_id) as embedded, count(v.chunk_id) / count(*) as coverage,
+select a.tenant_id, kb_id, count(*) as chunks, count(v.chunk_id) as embedded, count(v.chunk_id) / count(*) as coverage,
   count(v.chunk_id) = count(*) as ready_to_switch
 from vx_active a left join vx_vector v on v.chunk_id = a.chunk_id group by 1, 2""",
     "ver_05_kept_documents": "select doc_id, kb_id from fx_document where doc_id not in (select doc_id from vx_gone)",
