@@ -71,21 +71,18 @@ def memory_window(messages: DataFrame, current: DataFrame, limit: int = HISTORY)
     )
 
 
-def active_prompts(prompts: DataFrame, versions: DataFrame, tenants: DataFrame) -> DataFrame:
-    """The template in force per tenant and key: the tenant's own prompt before the system one.
+def active_prompts(wanted: DataFrame, prompts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The template in force for each wanted (tenant_id, key): the tenant's own prompt before the system one.
 
     Only the published version that ``active_version_id`` points at counts, never the largest number;
     a prompt of one's own without such a version hides the system prompt.
     """
     live = prompts.filter(F.col("deleted_at").isNull())
-    own = live.filter(F.col("tenant_id").isNotNull()).select("tenant_id", "key", F.lit(0).alias("is_system"), "prompt_id", "active_version_id")
-    system = live.filter(F.col("tenant_id").isNull()).select("key", F.lit(1).alias("is_system"), "prompt_id", "active_version_id")
-    keys = system.select("key", F.struct("is_system", "prompt_id", "active_version_id").alias("s"))
-    shared = tenants.select("tenant_id").withColumn("_j", F.lit(1)).join(
-        keys.groupBy(F.lit(1).alias("_j")).agg(F.collect_list(F.struct("key", "s")).alias("all")), "_j"
-    ).select("tenant_id", F.explode("all").alias("e")).select("tenant_id", F.col("e.key").alias("key"), "e.s.*")
-    picked = own.unionByName(shared).groupBy("tenant_id", "key").agg(
-        F.min_by(F.struct("prompt_id", "active_version_id"), "is_system").alias("p")
+    found = F.struct("prompt_id", "active_version_id")
+    own = live.filter(F.col("tenant_id").isNotNull()).select("tenant_id", "key", found.alias("own"))
+    system = live.filter(F.col("tenant_id").isNull()).select("key", found.alias("system"))
+    picked = wanted.join(own, ["tenant_id", "key"], "left").join(system, "key", "left").select(
+        "tenant_id", "key", F.coalesce("own", "system").alias("p")
     ).select("tenant_id", "key", "p.*")
     published = versions.filter(F.col("status") == "published").select(
         F.col("version_id").alias("active_version_id"), "prompt_id", "version", "template"

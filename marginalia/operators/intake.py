@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.replay import replay
 from marginalia.functions.skew import running_count, running_sum
 
 MAX_UPLOAD_BYTES = 32 * 1024 * 1024
@@ -75,7 +76,7 @@ def admit(docs: DataFrame, limits: DataFrame) -> DataFrame:
     ``limits``: tenant_id, max_documents, max_bytes (NULL = unlimited), used_documents, used_bytes.
     A rejected document uses nothing. As long as everything before a document was admitted the answer
     is a plain running sum; only rows behind a tenant's first rejection go through the ordered fold,
-    which reads them in batches and keeps two numbers.
+    which reads them row by row and keeps two numbers.
     """
     order = [F.col("created_at"), F.col("doc_id")]
     bucket = F.date_trunc("hour", "created_at")
@@ -99,8 +100,7 @@ def admit(docs: DataFrame, limits: DataFrame) -> DataFrame:
     over_bytes = F.coalesce(F.col("base_b") + F.col("size_bytes") > F.col("max_bytes"), F.lit(False))
     late = late.withColumn("_hopeless", F.when(over_count, "documents").when(over_bytes, "storage_bytes"))
     open_rows = late.filter("_hopeless is null").drop("_hopeless")
-    ordered = open_rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "created_at", "doc_id")
-    folded = ordered.groupBy("tenant_id").applyInPandas(_admit_in_order, ADMITTED)
+    folded = replay(open_rows, ["tenant_id"], ["created_at", "doc_id"], _Admission, ADMITTED)
     # the count limit is checked first: once a tenant is full, size is no longer the reason
     full = folded.filter(F.col("admitted") & (F.col("used_documents") >= F.col("max_documents"))).groupBy("tenant_id").agg(
         F.min(F.struct("created_at", "doc_id")).alias("_full")
@@ -112,26 +112,27 @@ def admit(docs: DataFrame, limits: DataFrame) -> DataFrame:
     return clear.unionByName(folded.select(*clear.columns)).unionByName(refused)
 
 
-def _admit_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    used_n = used_b = None
-    for batch in batches:
-        if used_n is None:
-            used_n, used_b = int(batch["base_n"].iloc[0]), int(batch["base_b"].iloc[0])
-        reasons, totals = [], []
-        for size, max_n, max_b in zip(batch["size_bytes"], batch["max_documents"], batch["max_bytes"]):
-            if not pd.isna(max_n) and used_n + 1 > max_n:
-                reasons.append("documents")
-            elif not pd.isna(max_b) and used_b + size > max_b:
-                reasons.append("storage_bytes")
-            else:
-                used_n, used_b = used_n + 1, used_b + int(size)
-                reasons.append(None)
-            totals.append(used_n)
-        out = batch[["doc_id", "tenant_id", "created_at", "max_documents"]].copy()
-        out["used_documents"] = totals
-        out["admitted"] = [r is None for r in reasons]
-        out["reason"] = reasons
-        yield out
+class _Admission:
+    """State of one tenant behind its first rejection: documents and bytes used so far."""
+
+    def __init__(self, key: tuple):
+        self.tenant, self.documents, self.bytes = key[0], None, None
+
+    def row(self, doc) -> Iterator[tuple]:
+        if self.documents is None:
+            self.documents, self.bytes = int(doc.base_n), int(doc.base_b)
+        size, reason = int(doc.size_bytes), None
+        if not pd.isna(doc.max_documents) and self.documents + 1 > doc.max_documents:
+            reason = "documents"
+        elif not pd.isna(doc.max_bytes) and self.bytes + size > doc.max_bytes:
+            reason = "storage_bytes"
+        else:
+            self.documents, self.bytes = self.documents + 1, self.bytes + size
+        limit = None if pd.isna(doc.max_documents) else int(doc.max_documents)
+        yield (doc.doc_id, self.tenant, doc.created_at, limit, self.documents, reason is None, reason)
+
+    def end(self) -> Iterator[tuple]:
+        return iter(())
 
 
 def fair_waves(backlog: DataFrame, k: int = 2) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.settings import clamped_float, clamped_int, settings
 from marginalia.functions.skew import last_n_before
@@ -193,7 +194,7 @@ def approximate_chunks(
                 near = np.argsort(-(_unit(np.stack(batch["vector"].to_numpy())) @ unit_centres.T), axis=1)[:, :probes]
                 yield batch.assign(cells=[list(map(int, row)) for row in near])
 
-    schema = queries.select("query_id", "tenant_id", "vector").schema.add("cells", "array<int>")
+    schema = queries.select("query_id", "tenant_id", "vector").schema.add("cells", T.ArrayType(T.IntegerType()))
     opened = queries.select("query_id", "tenant_id", "vector").mapInPandas(open_cells, schema)
     key = lambda cell: F.concat_ws("/", "tenant_id", F.col(cell).cast("string"))
     asked = opened.withColumn("cell", F.explode("cells")).withColumn("place", key("cell"))
@@ -274,7 +275,6 @@ def fuse(lists: list[DataFrame], *, damping: int = 60, keep: int = 24) -> DataFr
 def rerank(candidates: DataFrame, make_scorer, *, threshold: float = 0.3, keep: int = 8) -> DataFrame:
     """Score (question, content) pairs with a pluggable model; below the threshold nothing is context."""
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as T
 
     scorer = predict_batch_udf(make_scorer, return_type=T.DoubleType(), batch_size=64)
     scored = candidates.withColumn("rerank_score", scorer(F.col("question"), F.col("content")))
