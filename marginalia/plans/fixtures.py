@@ -59,10 +59,10 @@ def kb(spark: SparkSession, d: str) -> DataFrame:
 STATUSES = ("uploaded", "parsing", "cleaned", "chunked", "embedding", "failed", "ready", "ready")
 
 
-def document(spark: SparkSession, d: str) -> DataFrame:
+def document(spark: SparkSession, d: str, read=table) -> DataFrame:
     i = F.col("doc_id")
     status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (i % 8).cast("int") + 1)
-    return table(prepare(spark), d, "documents").select(
+    return read(prepare(spark), d, "documents").select(
         "doc_id", F.col("source").alias("tenant_id"), F.concat_ws("-", "source", "lang").alias("kb_id"),
         F.concat(F.lit("doc-"), i).alias("filename"), "text", "lang",
         F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"),
@@ -118,10 +118,10 @@ def embedding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def message(spark: SparkSession, d: str) -> DataFrame:
+def message(spark: SparkSession, d: str, read=table) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     unfinished = (F.col("role") == "assistant") & (c % 9 == 0)
-    return table(prepare(spark), d, "conversations").select(
+    return read(prepare(spark), d, "conversations").select(
         (c * 1000 + t).alias("message_id"), F.concat(F.lit("src"), c % 20).alias("tenant_id"),
         c.alias("conversation_id"), "role", F.col("text").alias("content"),
         F.when(unfinished, "streaming").otherwise("completed").alias("status"),
@@ -158,8 +158,8 @@ def answer(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def usage(spark: SparkSession, d: str) -> DataFrame:
-    e = table(prepare(spark), d, "events")
+def usage(spark: SparkSession, d: str, read=table) -> DataFrame:
+    e = read(prepare(spark), d, "events")
     view = F.col("event_type") == "view"
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("src"), F.col("user_id") % 20).alias("tenant_id"),
@@ -194,9 +194,9 @@ def request(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def login(spark: SparkSession, d: str) -> DataFrame:
+def login(spark: SparkSession, d: str, read=table) -> DataFrame:
     who = F.col("user_id") % 3
-    return table(prepare(spark), d, "events").filter(F.col("event_type").isin("error", "signup")).select(
+    return read(prepare(spark), d, "events").filter(F.col("event_type").isin("error", "signup")).select(
         "event_id", F.concat(F.lit("src"), who).alias("tenant_id"), F.concat(F.lit("u"), who).alias("email"),
         (ntz("2024-01-01 00:00:00") + minutes(F.col("event_id"))).alias("ts"),
         (F.col("event_type") != "error").alias("ok"),
@@ -221,8 +221,8 @@ def job_event(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def stream_event(spark: SparkSession, d: str) -> DataFrame:
-    said = message(spark, d).filter(F.col("role") == "assistant")
+def stream_event(spark: SparkSession, d: str, read=table) -> DataFrame:
+    said = message(spark, d, read).filter(F.col("role") == "assistant")
     cut = F.posexplode(F.transform(
         F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 40).cast("int")),
         lambda i: F.substring(F.col("content"), i * 40 + 1, F.lit(40)),

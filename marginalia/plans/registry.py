@@ -6,7 +6,7 @@ import importlib
 
 from marginalia.plans.fixtures import with_views
 
-GROUPS = ("usage", "text", "lifecycle", "rag", "platform", "sources")
+GROUPS = ("usage", "text", "lifecycle", "rag", "platform", "sources", "streams")
 
 
 def _groups():

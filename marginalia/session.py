@@ -44,3 +44,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path object) of a path, as Spark itself resolves it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    store, root = hadoop_path(spark, path)
+    return bool(store.getFileStatus(root).isDirectory())

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.session import is_directory
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The same table as a file stream; its schema is read from the files that are there."""
+    reader = spark.readStream.schema(table(spark, base, name).schema)
+    path = f"{base}/{name}.parquet"
+    if is_directory(spark, path):
+        return reader.parquet(path)
+    # a file stream watches a folder, so a table that is one file is picked out of its folder by name
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
+
+
 def tenant_view(df: DataFrame, tenant: str | None, column: str = "tenant_id") -> DataFrame:
     """Rows of one tenant. A missing tenant is an error, never "all rows"."""
     if tenant is None or tenant == "":
