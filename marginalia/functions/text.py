@@ -16,19 +16,20 @@ from pyspark.sql import functions as F
 # byte-order mark, soft hyphen.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 # What counts as white space when text is stripped or collapsed.
-SPACE = r"(?U)[\s\x1C-\x1F]"
+SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Ranges that cost one token per character: CJK punctuation, kana, extension A, unified ideographs,
 # hangul syllables, compatibility ideographs, full-width forms.
 CJK = r"[\u3000-\u303F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\uFF00-\uFFEF]"
 CHARS_PER_TOKEN = 4
 # Sentence boundary: after CJK stops and ! ? ; at once, after . ! ? with white space, at newlines.
-SENTENCE = r"(?U)(?<=[。！？；!?;])\s*|(?<=[.!?])\s+|\n+"
+SENTENCE = rf"(?<=[。！？；!?;]){SPACE}*|(?<=[.!?]){SPACE}+|\n+"
 # Unreadable: the replacement character, control characters, unassigned code points.
 UNREADABLE = r"[\uFFFD\p{Cc}\p{Cn}]"
 # Citation marker in an answer.
 MARKER = r"(?U)\[c:([^\]\s]+)\]"
 # Masking: sensitive key parts, the keys that are counts and not secrets, and the patterns in the
-# order in which they apply (URL credentials, key=value, e-mail, national id, phone, digit runs).
+# order in which they apply (URL credentials, key=value, e-mail, national id, phone, digit runs). The
+# third entry is text without which a pattern cannot match, so most texts skip it.
 SENSITIVE_PARTS = (
     "password", "passwd", "secret", "token", "api_key", "apikey",
     "authorization", "cookie", "credential", "private_key",
@@ -36,16 +37,16 @@ SENSITIVE_PARTS = (
 COUNT_KEYS = ("prompt_tokens", "completion_tokens", "total_tokens", "token_count", "max_tokens")
 REDACTED = "***"
 MASKS = (
-    (r"(?i)(?U)\b([a-z][a-z0-9+.\-]*://)([^\s/:@]*):([^\s/@]*)@", "$1$2:***@"),
+    (r"(?i)(?U)\b([a-z][a-z0-9+.\-]*://)([^\s/:@]*):([^\s/@]*)@", "$1$2:***@", "://"),
     (
-        r"(?i)(?U)((?:" + "|".join(SENSITIVE_PARTS) + r")[A-Za-z0-9_.\-]*)"
-        r"([\"']?\s*[=:]\s*)([\"']?)(?:bearer|basic|token)?\s*[^&\s\"',}}）]+",
-        "$1$2$3***",
+        r"(?i)((?:" + "|".join(SENSITIVE_PARTS) + r")[A-Za-z0-9_.\-]*)"
+        rf"([\"']?{SPACE}*[=:]{SPACE}*)([\"']?)(?:bearer|basic|token)?{SPACE}*[^&\"',}}}}）{SPACE[1:-1]}]+",
+        "$1$2$3***", None,
     ),
-    (r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"),
-    (r"(?U)(?<![0-9A-Za-z])[A-Z][12]\d{8}(?![0-9A-Za-z])", "<id>"),
-    (r"(?U)(?<![0-9A-Za-z])09\d{2}-?\d{3}-?\d{3}(?![0-9A-Za-z])", "<phone>"),
-    (r"(?U)(?<![0-9A-Za-z])\d{13,19}(?![0-9A-Za-z])", "<redacted>"),
+    (r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", "<email>", "@"),
+    (r"(?<![0-9A-Za-z])[A-Z][12]\p{Nd}{8}(?![0-9A-Za-z])", "<id>", None),
+    (r"(?<![0-9A-Za-z])09\p{Nd}{2}-?\p{Nd}{3}-?\p{Nd}{3}(?![0-9A-Za-z])", "<phone>", "09"),
+    (r"(?<![0-9A-Za-z])\p{Nd}{13,19}(?![0-9A-Za-z])", "<redacted>", None),
 )
 # ------------------------------------------------------------------------------------------------
 
@@ -130,7 +131,13 @@ def markers(answer: Column) -> Column:
 
 def mask(text: Column) -> Column:
     """Free-text masking, patterns applied in their fixed order."""
-    return reduce(lambda done, rule: F.regexp_replace(done, rule[0], rule[1]), MASKS, text)
+    def apply(done: Column, rule: tuple) -> Column:
+        pattern, shown, needle = rule
+        if needle is None:
+            return F.regexp_replace(done, pattern, shown)
+        return let(done, lambda t: F.when(F.contains(t, F.lit(needle)), F.regexp_replace(t, pattern, shown)).otherwise(t))
+
+    return reduce(apply, MASKS, text)
 
 
 def is_sensitive_key(key: Column) -> Column:

@@ -31,18 +31,26 @@ def is_garbled(text: Column) -> Column:
 
 
 def judged(blocks: DataFrame) -> DataFrame:
-    """Every block with its cleaned text and its fate: ``header``, ``dropped`` or ``kept``."""
-    headers = repeated_headers(blocks).select("doc_id", "match_text", F.lit(True).alias("_header"))
+    """Every block with its cleaned text and its fate: ``header``, ``dropped`` or ``kept``.
+
+    One shuffle, by document: the header test counts page changes inside (document, line) groups, which
+    that partitioning already holds together, and so do the numbering and the statistics that follow. The
+    cleaned text is made before the windows, so no later filter evaluates it again.
+    """
     table = F.col("type") == "table"
-    matched = blocks.withColumn("match_text", match_text(F.col("text"))).join(headers, ["doc_id", "match_text"], "left")
-    tidied = matched.withColumn("clean_text", F.when(table, F.col("text")).otherwise(clean_text(F.col("text"))))
-    fate = (
-        F.when(F.col("_header"), "header")
-        .when(strip(F.col("clean_text")) == "", "dropped")
-        .when(~table & is_garbled(F.col("clean_text")), "dropped")
-        .otherwise("kept")
-    )
-    return tidied.withColumn("fate", fate).drop("_header", "match_text")
+    prepared = blocks.repartition("doc_id").withColumn("match_text", match_text(F.col("text"))).withColumn(
+        "clean_text", F.when(table, F.col("text")).otherwise(clean_text(F.col("text")))
+    ).drop("text")
+    line = F.col("match_text")
+    candidate = F.col("page").isNotNull() & ~table & (line != "") & (token_estimate(line) <= HEADER_MAX_TOKENS)
+    bad = (strip(F.col("clean_text")) == "") | (~table & is_garbled(F.col("clean_text")))
+    flagged = prepared.withColumn("_candidate", candidate).withColumn("_bad", bad)
+    same_line = W.partitionBy("doc_id", "match_text")
+    paged = same_line.orderBy(F.col("_candidate").desc(), "page")
+    fresh = F.col("_candidate") & ~F.coalesce(F.lag("page").over(paged) == F.col("page"), F.lit(False))
+    counted = flagged.withColumn("_fresh", fresh).withColumn("_pages", F.sum(F.col("_fresh").cast("int")).over(same_line))
+    fate = F.when(F.col("_pages") >= HEADER_MIN_PAGES, "header").when(F.col("_bad"), "dropped").otherwise("kept")
+    return counted.withColumn("fate", fate).drop("match_text", "_candidate", "_bad", "_fresh", "_pages")
 
 
 def cleaned(blocks: DataFrame) -> DataFrame:

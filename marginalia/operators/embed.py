@@ -64,11 +64,11 @@ def upsert_vectors(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def lookup_models(kbs: DataFrame, aliases: DataFrame, default: str) -> DataFrame:
     """The name a knowledge base's vectors are stored under: the reported name, else the requested one.
 
-    ``aliases`` (requested, reported) has one row per model name in use, so its side is broadcast.
+    ``aliases`` (requested, reported) has one row per model name in use.
     """
     asked = F.coalesce(F.nullif(F.trim("embedding_model"), F.lit("")), F.lit(default))
     wanted = kbs.withColumn("requested", asked)
-    known = F.broadcast(aliases.select("requested", F.nullif(F.trim("reported"), F.lit("")).alias("reported")))
+    known = aliases.select("requested", F.nullif(F.trim("reported"), F.lit("")).alias("reported"))
     return wanted.join(known, "requested", "left").withColumn("lookup_model", F.coalesce("reported", "requested"))
 
 

@@ -1,14 +1,16 @@
 """Retrieval: exact and approximate nearest chunks, merging, score gate, context selection.
 
-Vectors are the big side and never move to be scored: a bounded set of questions is sent to every task,
-each task keeps its own best k per question and knowledge base, and only those are shuffled. A larger
-set of questions is cut into blocks and meets the vectors tile by tile. No pair of question and chunk
-is ever a row unless it is among a task's best k.
+Vectors are the big side and do not move to be scored: a block of questions of checked size is sent to
+every task, each task keeps its own best k per question and knowledge base, and only those are shuffled.
+A few blocks mean a few passes over the vectors; more questions than that meet the vectors tile by tile,
+with nothing passing through the driver. No pair of question and chunk is ever a row unless it is among a
+task's best k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,9 @@ from marginalia.functions.text import strip
 
 TOP_K, MAX_TOP_K = 40, 200
 CONTEXT_CHUNKS, TOKEN_BUDGET = 8, 4500
-MAX_BROADCAST_QUERIES = 4096
-TILE_VECTORS, TILE_QUERIES, STEP_QUERIES = 65536, 1024, 256
+BLOCK_BYTES = 128 * 1024 * 1024  # questions sent to every task at once, or one side of a tile
+MAX_PASSES = 4
+STEP_QUERIES = 256
 SCORE_DIGITS = 12
 HITS = "query_id long, kb_id string, chunk_id long, score double"
 
@@ -81,14 +84,23 @@ def nearest_chunks(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, *, ma
     k = max(1, min(k, MAX_TOP_K))
     asked = queries.select("query_id", F.col(match).cast("string").alias("match"), "vector")
     stored = vectors.select("chunk_id", "kb_id", F.col(match).cast("string").alias("match"), "vector")
-    few = asked.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
-    found = _scan(asked, stored, k) if few else _tiles(asked, stored, k)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if not size["n"]:
+        return asked.sparkSession.createDataFrame([], HITS + ", rank int")
+    per_block = max(1, BLOCK_BYTES // (8 * size["dims"]))
+    blocks = -(-size["n"] // per_block)
+    if blocks > MAX_PASSES:
+        found = _tiles(asked, stored, k, blocks, per_block)
+    else:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        passes = [_scan(asked.filter(block == n) if blocks > 1 else asked, stored, k) for n in range(blocks)]
+        found = reduce(DataFrame.unionByName, passes)
     best = W.partitionBy("query_id", "kb_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _scan(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """At most ``MAX_BROADCAST_QUERIES`` questions go to every task; vectors stay where they are."""
+    """One block of questions goes to every task; vectors stay where they are."""
     spark = asked.sparkSession
     rows = asked.toPandas()
     blocks = {
@@ -111,10 +123,9 @@ def _scan(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
     return stored.mapInPandas(search, HITS)
 
 
-def _tiles(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+def _tiles(asked: DataFrame, stored: DataFrame, k: int, blocks: int, per_tile: int) -> DataFrame:
     """Questions in blocks against vectors in tiles; a hot tenant is spread over all its tiles."""
-    tiles = max(1, -(-stored.count() // TILE_VECTORS))
-    blocks = max(1, -(-asked.count() // TILE_QUERIES))
+    tiles = max(1, -(-stored.count() // per_tile))
     left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
         "tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).cast("long")
     )

@@ -199,15 +199,13 @@ def ret_12_fusion(spark, d):
 
 def _word_overlap():
     """A stand-in scorer: share of the question's words that the chunk holds."""
-    import re
-
     import numpy as np
 
     def score(questions, contents):
         out = np.zeros(len(questions))
         for i, (q, c) in enumerate(zip(questions, contents)):
-            asked = set(re.findall(r"\w+", q.lower()))
-            out[i] = len(asked & set(re.findall(r"\w+", c.lower()))) / max(len(asked), 1)
+            asked = set(q.lower().split())
+            out[i] = len(asked.intersection(c.lower().split())) / max(len(asked), 1)
         return out
     return score
 

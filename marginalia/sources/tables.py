@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from marginalia.session import is_directory
 
 
+# Tables whose rows are costly to work on (texts, vectors).
+HEAVY = ("documents", "pages", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    """A table of the store. A heavy one that arrives in fewer splits than there are cores is spread out;
+    at scale it has far more splits than cores and is left where it is."""
+    rows = spark.read.parquet(f"{base}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def stream_table(spark: SparkSession, base: str, name: str) -> DataFrame:
