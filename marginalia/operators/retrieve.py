@@ -127,16 +127,18 @@ def _tiles(asked: DataFrame, stored: DataFrame, k: int, blocks: int, per_tile: i
     """Questions in blocks against vectors in tiles; a hot tenant is spread over all its tiles."""
     tiles = max(1, -(-stored.count() // per_tile))
     left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).cast("long")
+        "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
     )
     right = stored.withColumn("tile", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     )
     keys = ["match", "tile", "block"]
 
     def meet(questions: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(part):
-            return pd.DataFrame({"query_id": [], "kb_id": [], "chunk_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "kb_id": [], "chunk_id": [], "score": []}).astype(
+                {"query_id": "int64", "kb_id": "object", "chunk_id": "int64", "score": "float64"}
+            )
         return _best(questions["query_id"].to_numpy(), _unit(np.stack(questions["vector"].to_numpy())), part, k)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
