@@ -286,6 +286,11 @@ union all select chunk_id, model, embedding_version, round(head, 6) from s where
 select doc_id as chunk_id, sha256(text) as content_key, round(v[1], 6) as first from ({_hash_sql('text', 'documents', 'doc_id, text', 32)})""",
     "emb_07_lookup_models": """
 select kb_id, case when kb_id like '%-en' then 'click-2024' when kb_id like '%-de' then 'view' else 'signup-2024' end as lookup_model from fx_kb""",
+    "emb_08_half_precision": """
+with x as (select chunk_id, p, v::double as x, case when v = 0 then 1 else pow(2, greatest(floor(log2(abs(v::double))), -14) - 10) end as step from (
+  select chunk_id, unnest(vector) as v, generate_subscripts(vector, 1) as p from fx_embedding)),
+h as (select chunk_id, p, round_even(x / step, 0) * step as h from x)
+select chunk_id, round(max(h) filter (p = 1), 8) as first, round(sum(h order by p), 6) as total from h group by 1""",
     "emb_09_embedding_runs": f"""
 with p as (select doc_id, count(*) as embedded, sum({tokens_sql('content')})::bigint as tokens from ({_PENDING}) group by 1)
 select doc_id, tenant_id, doc_version, 'ready' as status, coalesce(embedded, 0) as embedded, coalesce(tokens, 0) as tokens,

@@ -453,6 +453,16 @@ f as (select tenant_id, email, 0::bigint as n, 0 as c, null::timestamp as until_
 k as (select * from f where locked)
 select k.tenant_id, k.email, k.ts as locked_at, k.until_ts as unlock_at, 5 as failures,
   (select count(*) from f r where r.refused and r.tenant_id = k.tenant_id and r.email = k.email and r.ts > k.ts and r.ts < k.until_ts) as refused from k""",
+    "sec_02_token_reuse": """
+with recursive e as (select user_id || '/' || ts::date as family, event_id, ts, row_number() over (partition by user_id, ts::date order by ts, event_id) as n, event_type = 'error' as old from events),
+t as (select *, n as issued, case when old then n - 3 else n - 1 end as presented from e),
+f as (select family, 0::bigint as n, null::bigint as current, null::bigint as rotated, null::timestamp as rotated_at, 0::bigint as rotations, null::timestamp as revoked_at from t group by 1
+  union all
+  select t.family, t.n, case when live and fits then t.issued else f.current end, case when live and fits then t.presented else f.rotated end,
+    case when live and fits then t.ts else f.rotated_at end, f.rotations + (live and fits)::bigint,
+    case when f.revoked_at is not null then f.revoked_at when fits or (t.presented = f.rotated and t.ts <= f.rotated_at + interval 10 seconds) then null else t.ts end
+  from f join t on t.family = f.family and t.n = f.n + 1, lateral (select f.revoked_at is null as live, f.current is null or t.presented = f.current as fits) x)
+select family, revoked_at, 'reuse' as reason, rotations from f where revoked_at is not null qualify row_number() over (partition by family order by n desc) = 1""",
     "sec_03_foreign_keys": """
 select doc_id, tenant_id, 'tenant-' || tenant_id || '0/kb/' || kb_id || '/' || doc_id as storage_key from fx_document where doc_id % 13 = 0""",
     "msk_01_masked_text": f"""

@@ -451,6 +451,12 @@ select query_id, chunk_id, round(rrf, 10) as rrf, row_number() over (partition b
   select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 12) as rrf from (
     select query_id, chunk_id, merged_rank as rank from rx_merged where merged_rank <= 40
     union all select query_id, chunk_id, rank from rx_lexical) group by 1, 2) qualify rank <= 24""",
+    "ret_13_rerank": r"""
+with w as (select query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda x: x <> '')) as q from fx_query),
+d as (select doc_id as chunk_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') as c from documents)
+select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id::varchar)::int as position, round(score, 9) as score from (
+  select query_id, chunk_id, len(list_intersect(q, c)) / greatest(len(q), 1) as score from rx_lexical join w using (query_id) join d using (chunk_id))
+where score >= 0.3 qualify position <= 8""",
     "ret_14_merge_adjacent": """
 with c as (select doc_id, seq, content from fx_chunk where not superseded and seq % 3 <> 2),
 l as (select c.doc_id, c.seq, coalesce(right(p.content, 12), '') || c.content as content, p.doc_id is not null as joined

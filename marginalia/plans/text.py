@@ -414,6 +414,15 @@ from cx_judged where fate = 'kept'""",
     "cln_08_quality_report": """
 select tenant_id, kb_id, count(*) as docs, avg(quality_warning::int) as warn_rate, quantile_cont(drop_rate, 0.5) as median_drop_rate
 from cx_rate join fx_document using (doc_id) group by 1, 2""",
+    "cln_09_sensitive_flags": rf"""
+with k as (select doc_id, (row_number() over (partition by doc_id order by block_order) - 1)::int as block_order, c as t from cx_judged where fate = 'kept')
+select doc_id, block_order, kinds from (select doc_id, block_order, concat_ws(',',
+  case when regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])([a-z][a-z0-9+.\-]*://)([^\s/:@]*):([^\s/@]*)@') then 'url_credentials' end,
+  case when regexp_matches(t, '(?i)(?:password|passwd|secret|token|api_key|apikey|authorization|cookie|credential|private_key)[A-Za-z0-9_.\-]*["'']?\s*[=:]\s*["'']?(?:bearer|basic|token)?\s*[^&\s"'',}}）]') then 'key_value' end,
+  case when regexp_matches(t, '[\p{{L}}\p{{N}}\p{{M}}_.+-]+@[\p{{L}}\p{{N}}\p{{M}}_-]+\.[\p{{L}}\p{{N}}\p{{M}}_.-]+') then 'email' end,
+  case when regexp_matches(t, '(^|[^0-9A-Za-z])[A-Z][12]\d{{8}}([^0-9A-Za-z]|$)') then 'national_id' end,
+  case when regexp_matches(t, '(^|[^0-9A-Za-z])09\d{{2}}-?\d{{3}}-?\d{{3}}([^0-9A-Za-z]|$)') then 'phone' end,
+  case when regexp_matches(t, '(^|[^0-9A-Za-z])\d{{13,19}}([^0-9A-Za-z]|$)') then 'digit_run' end) as kinds from k) where kinds <> ''""",
     "chk_01_token_estimate": f"select doc_id, {tokens_sql('text')} as tokens from documents",
     "chk_02_block_markdown": _MARKDOWN,
     "chk_03_document_markdown": f"""
