@@ -108,11 +108,13 @@ def latency_report(events: DataFrame, *, slo_ms: float = SLO_MS) -> DataFrame:
     are numbered.
     """
     rows = events.select("path", "duration_ms", F.floor("duration_ms").alias("ms"))
-    per_ms = rows.groupBy("path", "ms").agg(F.count("*").alias("n"))
+    per_ms = rows.groupBy("path", "ms").agg(
+        F.count("*").alias("n"), F.max("duration_ms").alias("max"), F.sum("duration_ms").alias("sum")
+    )
     upto = F.sum("n").over(W.partitionBy("path").orderBy("ms").rowsBetween(W.unboundedPreceding, 0))
-    placed = per_ms.withColumn("through", upto)
-    totals = rows.groupBy("path").agg(
-        F.count("*").alias("n"), F.max("duration_ms").alias("max"), F.avg("duration_ms").alias("mean")
+    placed = per_ms.select("path", "ms", "n", upto.alias("through"))
+    totals = per_ms.groupBy("path").agg(
+        F.sum("n").alias("n"), F.max("max").alias("max"), (F.sum("sum") / F.sum("n")).alias("mean")
     )
     wanted = totals.select("path", F.col("n").alias("total"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(share).alias("share"))

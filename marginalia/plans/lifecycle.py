@@ -144,12 +144,9 @@ def job_08_retry_schedule(spark, d):
     return J.retry_schedule(fx.job_event(spark, d))
 
 
-def _lines(spark, d):
-    return table(prepare(spark), d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content"))
-
-
 def emb_01_hash_embedding(spark, d):
-    vec = _lines(spark, d).select("chunk_id", hash_embedding(F.col("content"), 100).alias("v"))
+    docs = table(prepare(spark), d, "documents")
+    vec = docs.select(F.col("doc_id").alias("chunk_id"), hash_embedding(F.col("text"), 40).alias("v"))
     return vec.select("chunk_id", F.posexplode("v").alias("pos", "x")).select("chunk_id", "pos", F.round("x", 9).alias("x"))
 
 
@@ -272,7 +269,7 @@ select doc_id, doc_version, stage, attempt, ts + to_seconds(case attempt when 1
 from fx_job_event where status = 'failed'""",
     "emb_01_hash_embedding": f"""
 select chunk_id, (p - 1)::int as pos, round(x, 9) as x from (select chunk_id, unnest(v) as x, generate_subscripts(v, 1) as p from (
-{_hash_sql('text', 'benchmark', 'item_id as chunk_id', 100)}))""",
+{_hash_sql('text', 'documents', 'doc_id as chunk_id', 40)}))""",
     "emb_02_batch_inference": f"""
 select chunk_id, 64 as dims, round(v[1]::float::double, 4) as first from ({_hash_sql('content', f'({_PENDING})', 'chunk_id', 64)})""",
     "emb_03_pending_chunks": f"select chunk_id, content from ({_PENDING})",

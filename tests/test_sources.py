@@ -218,3 +218,18 @@ def test_snapshot_and_watermark(spark):
 
 def test_spread_only_when_splits_are_few(spark):
     assert T.table(spark, DATA, "documents").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_shared_folder_comes_from_the_session_or_is_refused():
+    from types import SimpleNamespace
+
+    from marginalia.session import shared_dir
+
+    def session(setting, master, app):
+        conf = SimpleNamespace(get=lambda key, default: setting if key == "spark.checkpoint.dir" else default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=app))
+
+    assert shared_dir(session("hdfs://nn/tmp/", "yarn", "a")) == "hdfs://nn/tmp"
+    with pytest.raises(RuntimeError):
+        shared_dir(session(None, "yarn", "a"))
+    assert shared_dir(session(None, "local[2]", "b")) == shared_dir(session(None, "local[2]", "b"))
