@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import each
 from marginalia.functions.text import strip
 
 PRICE = "decimal(14,8)"
 
 
 def _entries(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
-    split = lines.select(*keys, F.posexplode(F.split(F.col(text), ";", -1)).alias("pos", "raw"))
+    split = each(lines, keys, F.split(F.col(text), ";", -1), "raw", "pos")
     return split.select(*keys, "pos", strip(F.col("raw")).alias("entry")).filter(F.col("entry") != "")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import each
 from marginalia.functions.text import MARKER, markers, snippet
 
 RESUME_SECONDS = 300
@@ -12,13 +13,13 @@ RESUME_SECONDS = 300
 
 def marker_rows(answers: DataFrame) -> DataFrame:
     """Every marker of every answer in order, repeats included."""
-    return answers.select("message_id", F.posexplode(markers(F.col("content"))).alias("pos", "marker"))
+    return each(answers, ["message_id"], markers(F.col("content")), "marker", "pos")
 
 
 def _distinct_markers(answers: DataFrame) -> DataFrame:
     """Markers once each with the place they first appear at; found inside the row, no shuffle."""
     seen = F.array_distinct(markers(F.col("content")))
-    return answers.select("message_id", "conversation_id", F.posexplode(seen).alias("pos", "marker"))
+    return each(answers, ["message_id", "conversation_id"], seen, "marker", "pos")
 
 
 def citations(answers: DataFrame, context: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def answer_segments(answers: DataFrame, lists: DataFrame) -> DataFrame:
         F.struct(F.lit("citation").alias("kind"), F.get("marks", i).alias("text"), F.try_element_at("places", F.get("marks", i)).alias("index")),
     )))
     shown = F.filter(pairs, lambda s: F.when(s["kind"] == "text", s["text"] != "").otherwise(s["index"].isNotNull()))
-    return rows.select("message_id", F.posexplode(shown).alias("segment_no", "s")).select("message_id", "segment_no", "s.*")
+    return each(rows, ["message_id"], shown, "s", "segment_no").select("message_id", "segment_no", "s.*")
 
 
 def evaluation_sample(answers: DataFrame, ident: str = "message_id", percent: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import each
 from marginalia.functions.text import let
 from marginalia.session import materialise
 
@@ -29,7 +30,7 @@ def train(samples: DataFrame) -> DataFrame:
     The model is the ``VOCABULARY`` most frequent trigrams: a table of fixed size, small enough to send
     to every task whatever the size of the training set. Add-one smoothing.
     """
-    counts = samples.select("lang", F.explode(grams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = each(samples, ["lang"], grams(F.col("text")), "gram").groupBy("lang", "gram").agg(F.count("*").alias("n"))
     counts = materialise(counts, "grams")
     common = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "gram").limit(VOCABULARY).select("gram")
     kept = counts.join(F.broadcast(common), "gram")
@@ -55,7 +56,7 @@ def detect(docs: DataFrame, model: DataFrame, *, sample_chars: int | None = None
     rows = docs.select("doc_id", text.alias("text"))
     script = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "und").when(F.col("text").rlike(KANA), "ja").when(F.col("text").rlike(HANGUL), "ko")
     marked = rows.withColumn("script", script)
-    asked = marked.filter("script is null").select("doc_id", F.explode(grams(F.col("text"))).alias("gram"))
+    asked = each(marked.filter("script is null"), ["doc_id"], grams(F.col("text")), "gram").drop("_pos")
     scored = asked.join(F.broadcast(model), "gram").select("doc_id", F.explode("scores").alias("lang", "score"))
     sums = scored.groupBy("doc_id", "lang").agg(F.sum("score").alias("score"))
     best = sums.groupBy("doc_id").agg(F.max(F.struct("score", "lang")).alias("b"), F.collect_list("score").alias("all"))

@@ -76,7 +76,7 @@ def document(spark: SparkSession, d: str, read=table) -> DataFrame:
 
 def block(spark: SparkSession, d: str) -> DataFrame:
     lines = table(prepare(spark), d, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_order", "text")
+        "doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("block_order", "text")
     )
     order = F.col("block_order").cast("long")
     kind = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import each
 from marginalia.functions.vectors import half_precision, hash_embedding
 from marginalia.operators import embed as E
 from marginalia.operators import jobs as J
@@ -146,8 +147,7 @@ def job_08_retry_schedule(spark, d):
 
 def emb_01_hash_embedding(spark, d):
     docs = table(prepare(spark), d, "documents")
-    vec = docs.select(F.col("doc_id").alias("chunk_id"), hash_embedding(F.col("text"), 40).alias("v"))
-    return vec.select("chunk_id", F.posexplode("v").alias("pos", "x")).select("chunk_id", "pos", F.round("x", 9).alias("x"))
+    return each(docs, [F.col("doc_id").alias("chunk_id")], hash_embedding(F.col("text"), 40), "x", "pos").withColumn("x", F.round("x", 9))
 
 
 def _pending(spark, d):

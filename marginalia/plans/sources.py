@@ -76,7 +76,7 @@ select page_id, host || path || case when len(q) > 0 then '?' || array_to_string
 
 
 def lines(spark, d):
-    return table(prepare(spark), d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l"))
+    return table(prepare(spark), d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "l"))
 
 
 def markdown_docs(spark, d):

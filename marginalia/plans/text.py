@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.functions.arrays import each
 from marginalia.operators import chunk as K
 from marginalia.operators import clean as C
 from marginalia.operators import intake as N
@@ -232,7 +233,7 @@ def chk_03_document_markdown(spark, d):
 
 def chk_04_sentences(spark, d):
     docs = T.table(prepare(spark), d, "documents").filter(F.length("text") > 0)
-    return docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return each(docs, ["doc_id"], X.sentences(F.col("text")), "sentence", "sentence_no")
 
 
 def chunk_input(spark, d):
@@ -247,10 +248,8 @@ def chk_05_chunks(spark, d):
 
 
 def chk_06_hard_split(spark, d):
-    docs = T.table(prepare(spark), d, "documents").select("doc_id", X.hard_split(F.col("text"), F.lit(100)).alias("pieces"))
-    # the outer form keeps the optimizer from testing the array's size with a second evaluation of it
-    rows = docs.select("doc_id", F.posexplode_outer("pieces").alias("piece_no", "piece"))
-    return rows.filter(F.col("piece").isNotNull())
+    docs = T.table(prepare(spark), d, "documents")
+    return each(docs, ["doc_id"], X.hard_split(F.col("text"), F.lit(100)), "piece", "piece_no")
 
 
 def chk_07_chunk_stats(spark, d):

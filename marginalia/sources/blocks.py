@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import each
 from marginalia.functions.text import strip
 
 # A line that is empty or holds only blanks separates two paragraphs.
@@ -22,7 +23,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     pieces = F.filter(
         F.transform(F.split("text", BLANK_LINE, -1), strip), lambda piece: piece != ""
     )
-    return docs.select("doc_id", F.posexplode(pieces).alias("block_order", "text")).select(
+    return each(docs, ["doc_id"], pieces, "text", "block_order").select(
         "doc_id", "block_order", F.lit("paragraph").alias("type"), "text",
         F.lit(None).cast("long").alias("page"), F.array().cast("array<string>").alias("heading_path"),
     )
