@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import near
+from marginalia.llm import decontam, near
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -16,7 +17,18 @@ def op5_minhash(spark: SparkSession, base: str) -> DataFrame:
     return near.near_duplicates(_table(spark, base, "documents"), size=2, percent=80)
 
 
+def op6_decontaminate(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with runs of ten benchmark words, or all words of a shorter item."""
+    found = decontam.benchmark_hits(_table(spark, base, "documents"), _table(spark, base, "benchmark"), size=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "spans",
+    )
+
+
 QUERIES = {
     "op5_minhash": op5_minhash,
+    "op6_decontaminate": op6_decontaminate,
 }
 ORACLES: dict[str, str] = {}
