@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, near
+from marginalia.llm import decontam, mixing, near, tokens
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op4_packed_tokens(spark: SparkSession, base: str) -> DataFrame:
+    """Where each document's ids stand in the packed store, and their check sums, read back from its files."""
+    import public_tokenizers
+
+    return tokens.encoded(_table(spark, base, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_minhash(spark: SparkSession, base: str) -> DataFrame:
     """Near-duplicate groups over two-word shingles at similarity 0.8."""
     return near.near_duplicates(_table(spark, base, "documents"), size=2, percent=80)
@@ -27,8 +34,17 @@ def op6_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op7_fair_queue(spark: SparkSession, base: str) -> DataFrame:
+    """What a mix of all sources, weighted 3, 1, 2 in turn, takes of each document."""
+    return mixing.mix_shares(_table(spark, base, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
+
+
 QUERIES = {
+    "op4_packed_tokens": op4_packed_tokens,
     "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_fair_queue": op7_fair_queue,
+}
+ORACLES = {
+    "op7_fair_queue": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
