@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, mixing, near, tokens
+from marginalia.llm import decontam, exact, mixing, near, tokens
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op1_extendible_hash(spark: SparkSession, base: str) -> DataFrame:
+    """Exact duplicates of all documents."""
+    return exact.exact_duplicates(_table(spark, base, "documents"))
+
+
 def op4_packed_tokens(spark: SparkSession, base: str) -> DataFrame:
     """Where each document's ids stand in the packed store, and their check sums, read back from its files."""
     import public_tokenizers
@@ -40,11 +45,13 @@ def op7_fair_queue(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extendible_hash": op1_extendible_hash,
     "op4_packed_tokens": op4_packed_tokens,
     "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_fair_queue": op7_fair_queue,
 }
 ORACLES = {
+    "op1_extendible_hash": exact.ORACLE,
     "op7_fair_queue": mixing.ORACLE,
 }
