@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, exact, langid, mixing, near, tokens
+from marginalia.llm import decontam, exact, langid, mixing, near, quality, tokens
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op1_extendible_hash(spark: SparkSession, base: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, base, "documents"))
 
 
+def op3_support_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """The quality of every document, learned from the labels of those not held out."""
+    docs = _table(spark, base, "documents")
+    model = quality.train(docs, _table(spark, base, "labels").filter(~held_out()))
+    found = quality.quality_scores(docs, model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_packed_tokens(spark: SparkSession, base: str) -> DataFrame:
     """Where each document's ids stand in the packed store, and their check sums, read back from its files."""
     import public_tokenizers
@@ -59,6 +68,7 @@ def op8_word_backoff(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_hash": op1_extendible_hash,
+    "op3_support_vectors": op3_support_vectors,
     "op4_packed_tokens": op4_packed_tokens,
     "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
