@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, exact, langid, mixing, near, quality, tokens
+from marginalia.llm import decontam, exact, langid, mixing, near, quality, tokens, urls
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -66,6 +66,20 @@ def op8_word_backoff(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+RULES = (
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+
+
+def op10_character_ratio(spark: SparkSession, base: str) -> DataFrame:
+    """A verdict on every page's URL: by rule, or else by character language models of the ruled ones."""
+    return urls.url_verdicts(_table(spark, base, "pages"), RULES)
+
+
 QUERIES = {
     "op1_extendible_hash": op1_extendible_hash,
     "op3_support_vectors": op3_support_vectors,
@@ -74,6 +88,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_fair_queue": op7_fair_queue,
     "op8_word_backoff": op8_word_backoff,
+    "op10_character_ratio": op10_character_ratio,
 }
 ORACLES = {
     "op1_extendible_hash": exact.ORACLE,

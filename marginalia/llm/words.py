@@ -57,6 +57,11 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
+def power(way: str, n: int) -> np.ndarray:
+    """The first ``n`` powers of the hash base ("up") or of its inverse ("down"); n is at most a slice and one."""
+    return _power(way, _BASE if way == "up" else _INVERSE, n)
+
+
 class Words(NamedTuple):
     """Words of the texts ``first .. first + len(offsets) - 2``: those of text i are at offsets[i]:offsets[i + 1]."""
 
