@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, exact, langid, mixing, near, quality, tokens, urls
+from marginalia.llm import decontam, exact, langid, mixing, near, pii, quality, tokens, urls
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -66,6 +66,15 @@ def op8_word_backoff(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_boosted_spans(spark: SparkSession, base: str) -> DataFrame:
+    """Personal data in every document: certain spans, and those that boosted trees add."""
+    found = pii.personal_data(_table(spark, base, "documents"))
+    counts = [pii.of_kind(F.col("certain"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("certain")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.concat("certain", "added")).alias("spans"))
+
+
 RULES = (
     urls.Rule("allow", "com", "/"),
     urls.Rule("block", "example.com", "/en/"),
@@ -88,6 +97,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_fair_queue": op7_fair_queue,
     "op8_word_backoff": op8_word_backoff,
+    "op9_boosted_spans": op9_boosted_spans,
     "op10_character_ratio": op10_character_ratio,
 }
 ORACLES = {
