@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# --- fixed values: channels by type, roles that get account-wide news ------------------------------
+# --- fixed values: channels by type, roles that get account-wide news, titles and bodies ------------------------------
 CHANNELS = {
     "document_failed": ("in_app", "email"),
     "quota_threshold": ("in_app", "email"),
@@ -16,37 +16,54 @@ CHANNELS = {
 MANAGERS = ("owner", "admin")
 COLLAPSE_MINUTES = 10
 KEPT_IDS = 9
+READY_KEY = ["tenant_id", "user_id", "kb_id", "slot"]
+ONE_READY, MANY_READY = " 已完成", " 份文件已完成"
+ONE_BODY, AND, MANY_BODY = "可以開始問答了。", " 等 ", " 份文件可以開始問答了。"
 # ---------------------------------------------------------------------------------------------------
 
 
-def collapse_ready(events: DataFrame, minutes: int = COLLAPSE_MINUTES) -> DataFrame:
-    """One unread row per (user, knowledge base, aligned time bucket) of "ready" events.
+def ready_parts(events: DataFrame, minutes: int = COLLAPSE_MINUTES) -> DataFrame:
+    """Per user, knowledge base and aligned time bucket: what a notice of these events needs; parts merge.
 
-    ``events``: tenant_id, user_id, kb_id, doc_id, filename, ts. The document list holds the first nine and
-    the latest one, found without gathering a bucket: a row limit prunes map-side.
+    ``events``: tenant_id, user_id, kb_id, doc_id, filename, ts. The first nine documents are found without
+    gathering a bucket: a row limit prunes map-side.
     """
     slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (minutes * 60))
     rows = events.withColumn("slot", slot)
-    key = ["tenant_id", "user_id", "kb_id", "slot"]
-    at = F.struct("ts", "doc_id")
-    whole = rows.groupBy(*key).agg(
-        F.count("*").alias("count"), F.max_by(F.struct("filename", "doc_id"), at).alias("last"), F.max("ts").alias("updated_at")
-    )
-    early = rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy("ts", "doc_id"))).filter(F.col("_r") <= KEPT_IDS)
-    ids = early.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_r", "doc_id"))).alias("_early"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
-    joined = whole.join(ids.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_early"), same)
-    first = F.transform("_early", lambda s: s["doc_id"])
+    whole = rows.groupBy(*READY_KEY).agg(
+        F.count("*").alias("count"), F.max(F.struct("ts", "doc_id", "filename")).alias("last"))
+    place = F.row_number().over(W.partitionBy(*READY_KEY).orderBy("ts", "doc_id"))
+    early = rows.withColumn("_r", place).filter(F.col("_r") <= KEPT_IDS)
+    ids = early.groupBy(*READY_KEY).agg(F.array_sort(F.collect_list(F.struct("ts", "doc_id"))).alias("early"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in READY_KEY]
+    named = ids.select(*[F.col(k).alias(f"_k_{k}") for k in READY_KEY], "early")
+    return whole.join(named, same).select(*READY_KEY, "count", "last", "early")
+
+
+def ready_notices(parts: DataFrame) -> DataFrame:
+    """One unread notice per user, knowledge base and bucket, from parts of its events."""
+    merged = parts.groupBy(*READY_KEY).agg(
+        F.sum("count").cast("long").alias("count"), F.max("last").alias("last"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("early"))), 1, KEPT_IDS).alias("early"))
+    first = F.transform("early", lambda s: s["doc_id"])
     documents = F.when(F.col("count") > KEPT_IDS, F.concat(first, F.array("last.doc_id"))).otherwise(first)
     many = F.col("count") > 1
-    return joined.select(
-        *key, "count", "updated_at", documents.alias("document_ids"),
-        F.when(many, F.concat("count", F.lit(" 份文件已完成"))).otherwise(F.concat("last.filename", F.lit(" 已完成"))).alias("title"),
-        F.when(many, F.concat("last.filename", F.lit(" 等 "), "count", F.lit(" 份文件可以開始問答了。"))).otherwise("可以開始問答了。").alias("body"),
+    return merged.select(
+        *READY_KEY, "count", F.col("last.ts").alias("updated_at"), documents.alias("document_ids"),
+        F.when(many, F.concat("count", F.lit(MANY_READY))).otherwise(F.concat("last.filename", F.lit(ONE_READY))).alias("title"),
+        F.when(many, F.concat("last.filename", F.lit(AND), "count", F.lit(MANY_BODY))).otherwise(ONE_BODY).alias("body"),
         F.concat(F.lit("document_ready:"), "kb_id", F.lit(":"), "slot").alias("dedupe_key"),
     )
 
 
+def collapse_ready(events: DataFrame, minutes: int = COLLAPSE_MINUTES) -> DataFrame:
+    """One unread row per (user, knowledge base, aligned time bucket) of "ready" events.
+
+    The document list holds the first nine and the latest one.
+    """
+    return ready_notices(ready_parts(events, minutes))
+
+
 def recipients(documents: DataFrame, user_roles: DataFrame, users: DataFrame) -> DataFrame:
     """Who hears about a document: its uploader, else the tenant's active owners and admins, once each."""
     active = users.filter(F.col("status") == "active").select("user_id")
