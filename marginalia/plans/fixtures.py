@@ -89,7 +89,7 @@ def block(spark: SparkSession, d: str) -> DataFrame:
         kind.alias("type"), "text",
     )
     headers = body.filter((F.col("doc_id") % 50 == 0) & F.col("page").isNotNull()).select(
-        "doc_id", (1000000 + F.col("page")).alias("block_order"), "page",
+        "doc_id", (-F.col("page")).alias("block_order"), "page",  # before the text, so never a line of it
         F.lit("paragraph").alias("type"), F.lit("Internal  use only").alias("text"),
     ).distinct()
     return body.unionByName(headers)
@@ -97,10 +97,10 @@ def block(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk(spark: SparkSession, d: str) -> DataFrame:
     docs = document(spark, d).select("doc_id", "tenant_id", "kb_id", F.col("doc_version").alias("_current"))
-    blocks = block(spark, d).filter(F.col("block_order") < 10000)
+    blocks = block(spark, d).filter(F.col("block_order") >= 0)
     versions = F.explode(F.sequence(F.lit(1), F.col("_current"))).alias("doc_version")
     return docs.select("*", versions).join(blocks, "doc_id").select(
-        (F.col("doc_id") * 100000 + F.col("doc_version") * 10000 + F.col("block_order")).alias("chunk_id"),
+        F.concat_ws(":", "doc_id", "doc_version", "block_order").alias("chunk_id"),
         "tenant_id", "kb_id", "doc_id", "doc_version", F.col("block_order").cast("int").alias("seq"),
         F.col("text").alias("content"), (F.col("doc_version") < F.col("_current")).alias("superseded"),
     )
@@ -280,12 +280,12 @@ b as (select doc_id, block_order, case when doc_id % 2 = 0 then 1 + block_order
                   else 'paragraph' end as type from l)
 select doc_id, block_order, page, type, text from b
 union all
-select distinct doc_id, 1000000 + page as block_order, page, 'paragraph' as type, 'Internal  use only' as text from b
+select distinct doc_id, -page as block_order, page, 'paragraph' as type, 'Internal  use only' as text from b
 where doc_id % 50 = 0 and page is not null)""",
     "fx_chunk": """
-select d.doc_id * 100000 + v.ver * 10000 + b.block_order as chunk_id, d.tenant_id, d.kb_id, d.doc_id, cast(v.ver as int) as doc_version,
+select d.doc_id || ':' || v.ver || ':' || b.block_order as chunk_id, d.tenant_id, d.kb_id, d.doc_id, cast(v.ver as int) as doc_version,
   cast(b.block_order as int) as seq, b.text as content, v.ver < d.doc_version as superseded
-from fx_document d join fx_block b on b.doc_id = d.doc_id and b.block_order < 10000
+from fx_document d join fx_block b on b.doc_id = d.doc_id and b.block_order >= 0
 join (values (1), (2)) as v(ver) on v.ver <= d.doc_version""",
     "fx_embedding": """
 select vec_id as chunk_id, 't' || (vec_id % 2) as tenant_id, 't' || (vec_id % 2) || '-' || (label % 5) as kb_id,

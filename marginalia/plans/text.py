@@ -64,7 +64,7 @@ select *, round_even(case when total > 0 then dropped / total else 0 end, 4) as
   case when total > 0 then dropped / total else 0 end > 0.2 as quality_warning from cx_stats""",
     "hx_block": """
 select doc_id, block_order, type, text, page, case when type = 'heading' then 1 + (block_order // 10) % 3 end as level
-from fx_block where block_order < 1000000""",
+from fx_block where block_order >= 0""",
     "hx_path": """
 select a.doc_id, a.block_order, string_agg(h.text, ' > ' order by h.block_order) as path
 from hx_block a join hx_block h on h.doc_id = a.doc_id and h.type = 'heading' and h.block_order <= a.block_order
@@ -77,7 +77,7 @@ group by 1, 2""",
 
 def headed_blocks(spark, d):
     level = F.when(F.col("type") == "heading", 1 + F.floor(F.col("block_order") / 10) % 3)
-    return B.with_heading_path(fx.block(spark, d).filter(F.col("block_order") < 1000000).withColumn("level", level))
+    return B.with_heading_path(fx.block(spark, d).filter(F.col("block_order") >= 0).withColumn("level", level))
 
 
 def src_04_text_blocks(spark, d):
@@ -265,7 +265,7 @@ def snk_03_replace_version(spark, d):
     """Documents of one status get one fresh chunk each for their current version; the rest stays."""
     docs = fx.document(spark, d)
     fresh = docs.filter(F.col("status") == "chunked").select(
-        (F.col("doc_id") * 100000 + 99999).alias("chunk_id"), "tenant_id", "kb_id", "doc_id", "doc_version",
+        F.concat("doc_id", F.lit(":fresh")).alias("chunk_id"), "tenant_id", "kb_id", "doc_id", "doc_version",
         F.lit(0).alias("seq"), F.col("filename").alias("content"), F.lit(False).alias("superseded"))
     return S.replace_for_keys(fx.chunk(spark, d), fresh, ["doc_id", "doc_version"]).select("chunk_id", "doc_id", "doc_version", "content")
 
@@ -365,7 +365,7 @@ select coalesce(o.doc_id, n.doc_id) as doc_id, case when o.doc_id is null then '
     "snk_03_replace_version": """
 select chunk_id, c.doc_id, c.doc_version, content from fx_chunk c join fx_document d using (doc_id)
 where not (d.status = 'chunked' and c.doc_version = d.doc_version)
-union all select doc_id * 100000 + 99999, doc_id, doc_version, filename from fx_document where status = 'chunked'""",
+union all select doc_id || ':fresh', doc_id, doc_version, filename from fx_document where status = 'chunked'""",
     "snk_04_artefact_blocks": """
 select b.doc_id, b.block_order, type, text, page, coalesce(path, '') as path from hx_block b
 left join hx_path p on p.doc_id = b.doc_id and p.block_order = b.block_order where b.doc_id % 9 not in (0, 1)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +11,6 @@ from marginalia.functions.text import strip
 
 # A line that is empty or holds only blanks separates two paragraphs.
 BLANK_LINE = r"\n[ \t\r\f\x0B]*\n"
-MAX_LEVEL = 9
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -29,26 +28,36 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_heading_path(blocks: DataFrame, *, max_level: int = MAX_LEVEL) -> DataFrame:
+def with_heading_path(blocks: DataFrame) -> DataFrame:
     """Add ``heading_path``: the open headings above a block, outermost first.
 
-    A heading closes every heading of its own level or deeper. Needs doc_id, block_order, type, text,
-    level. For each level the last heading seen is kept by a window over the document (documents are
-    bounded by the intake size cap); it is open unless a shallower one came later.
+    A heading closes every heading of its own level or deeper; levels have no bound. Needs doc_id,
+    block_order, type, text, level. A document's headings are folded in order once, and each block takes
+    the path of the last heading at or before it (documents are bounded by the intake size cap).
     """
+    heading = (F.col("type") == "heading") & F.col("level").isNotNull()
+    entry = F.struct("block_order", F.col("level").cast("int").alias("level"), "text")
+    folded = F.aggregate(
+        F.array_sort(F.collect_list(entry)),
+        F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("open"),
+                 F.array().cast("array<struct<at:bigint,above:array<string>,own:string>>").alias("paths")),
+        _open_heading, lambda done: done["paths"],
+    )
+    paths = blocks.filter(heading).groupBy(F.col("doc_id").alias("_doc")).agg(folded.alias("_paths")).select(
+        "_doc", F.explode("_paths").alias("_p"))
     upto = W.partitionBy("doc_id").orderBy("block_order").rowsBetween(W.unboundedPreceding, 0)
-    heading = F.col("type") == "heading"
-    entry = F.struct(F.col("block_order").alias("at"), F.col("text").alias("title"))
-    rows = blocks
-    for level in range(1, max_level + 1):
-        seen = F.last(F.when(heading & (F.col("level") == level), entry), ignorenulls=True)
-        rows = rows.withColumn(f"_h{level}", seen.over(upto))
-    open_titles = []
-    latest = F.lit(-1).cast("long")
-    for level in range(1, max_level + 1):
-        at = F.col(f"_h{level}.at").cast("long")
-        own = heading & (F.col("level") <= level)
-        open_titles.append(F.when((at > latest) & ~own, F.col(f"_h{level}.title")))
-        latest = F.greatest(latest, F.coalesce(at, F.lit(-1)))
-    path = F.filter(F.array(*open_titles), lambda title: title.isNotNull())
-    return rows.select(*blocks.columns, path.alias("heading_path"))
+    last = F.last(F.when(heading, F.col("block_order").cast("long")), ignorenulls=True).over(upto)
+    rows = blocks.withColumn("_last", last)
+    joined = rows.join(paths, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_last") == F.col("_p.at")), "left")
+    path = F.when(F.col("_last") == F.col("block_order"), F.col("_p.above")).otherwise(
+        F.concat("_p.above", F.array("_p.own")))
+    return joined.select(*blocks.columns, F.coalesce(path, F.array().cast("array<string>")).alias("heading_path"))
+
+
+def _open_heading(so_far: Column, heading: Column) -> Column:
+    """One step of the fold: close what is not above the heading, note its path, open it."""
+    above = F.filter(so_far["open"], lambda h: h["level"] < heading["level"])
+    made = F.struct(heading["block_order"].cast("long").alias("at"),
+                    F.transform(above, lambda h: h["text"]).alias("above"), heading["text"].alias("own"))
+    opened = F.array(F.struct(heading["level"].alias("level"), heading["text"].alias("text")))
+    return F.struct(F.concat(above, opened).alias("open"), F.concat(so_far["paths"], F.array(made)).alias("paths"))

@@ -20,6 +20,8 @@ from marginalia.sources.blocks import with_heading_path
 
 BLOCKS = "doc_id long, block_order int, type string, text string, level int"
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]|$)")
+# The words of an ATX heading: what stands between its opening and closing number signs.
+TITLE = re.compile(r"\s*#*\s*(.*?)\s*#*\s*$")
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -32,7 +34,7 @@ DELIMITER = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?
 def markdown_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, block_order, type, text, heading_path."""
     rows = docs.select("doc_id", "text").mapInPandas(_walk_batches, BLOCKS)
-    return with_heading_path(rows, max_level=6).drop("level")
+    return with_heading_path(rows).drop("level")
 
 
 def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,8 +67,8 @@ def blocks_of(text: str) -> Iterator[tuple[str, str, int | None]]:
         elif kind == "indented":
             yield "code", "\n".join(each[4:] if each[:4].strip() == "" else each.lstrip("\t") for each in lines[start:at]).rstrip("\n"), None
         elif kind == "heading":
-            title = lines[start].strip() if level and SETEXT.match(lines[at - 1]) and at - start > 1 else body.lstrip("#").strip().rstrip("#").strip()
-            yield "heading", title, level
+            underlined = at - start > 1
+            yield "heading", lines[start].strip() if underlined else TITLE.match(body)[1], level
         elif kind != "rule" and body:
             yield kind, body, None
 
