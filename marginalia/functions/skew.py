@@ -12,6 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _join_same(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the keys of ``rows`` stay."""
+    named = totals.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in totals.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(named, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def running_sum(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str
 ) -> DataFrame:
@@ -49,7 +56,7 @@ def previous_by_bucket(
     chain = W.partitionBy(*keys).orderBy("_bucket")
     edges = last.withColumn("_carry", F.lag("_last").over(chain)).drop("_last")
     inside = W.partitionBy(*keys, "_bucket").orderBy("_o")
-    joined = rows.join(edges, [*keys, "_bucket"])
+    joined = _join_same(rows, edges, [*keys, "_bucket"])
     first = F.row_number().over(inside) == 1
     return joined.withColumn(
         out, F.when(first, F.col("_carry")).otherwise(F.lag("_value").over(inside))
@@ -73,7 +80,7 @@ def last_n_before(
     chain = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(-n, -1)
     carried = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(chain))).drop("_tail")
     inside = W.partitionBy(*keys, "_bucket").orderBy("_o").rowsBetween(-n, -1)
-    joined = rows.join(carried, [*keys, "_bucket"]).withColumn("_near", F.collect_list("_value").over(inside))
+    joined = _join_same(rows, carried, [*keys, "_bucket"]).withColumn("_near", F.collect_list("_value").over(inside))
     both = F.concat("_carry", "_near")
     kept = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n))
     return joined.withColumn(out, kept).select(*df.columns, out)

@@ -56,10 +56,11 @@ def mark_duplicates(docs: DataFrame, keys: list[str], order: list[str], ident: s
     """Add ``duplicate_of``: the first document with the same key, NULL for that first one.
 
     The first one is found by a map-side combined minimum, never by sorting a group of copies; the join
-    back is one row per key on the right, which AQE splits when one key is hot on the left.
+    back is one row per key on the right, which AQE splits when one key is hot on the left. A document
+    whose key has a NULL part is nobody's duplicate.
     """
     first = docs.groupBy(*keys).agg(F.min(F.struct(*order, F.col(ident).alias("_first"))).alias("_f"))
-    joined = docs.join(first, keys)
+    joined = docs.join(first, keys, "left")
     return joined.select(
         *docs.columns, F.when(F.col("_f._first") != F.col(ident), F.col("_f._first")).alias("duplicate_of")
     )

@@ -24,7 +24,8 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     Five failures lock; every failure restarts the 900 s after which the count is forgotten; a success
     clears it; attempts during a lock are refused before the password is looked at and change nothing.
     After 900 s without any attempt nothing is remembered, so an account's log is cut there and the
-    pieces are replayed independently, each row by row with three numbers of state.
+    pieces are replayed independently, each row by row with three numbers of state. A piece with fewer
+    than five failures cannot lock and is left out.
     """
     key = ["tenant_id", "email"]
     order = [F.col("ts"), F.col("event_id")]
@@ -32,7 +33,11 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     seen = previous_by_bucket(attempts, key, bucket, order, F.col("ts"), "_prev")
     quiet = F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(LOCK_SECONDS)))
     cut = running_sum(seen, key, bucket, order, quiet.cast("int"), "piece")
-    return replay(cut.drop("_prev"), [*key, "piece"], ["ts", "event_id"], _Logins, LOCKS)
+    failures = F.count_if(~F.col("ok"))
+    risky = cut.groupBy(*key, "piece").agg(failures.alias("_f")).filter(F.col("_f") >= MAX_ATTEMPTS)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*key, "piece")]
+    kept = cut.join(risky.select(*[F.col(k).alias(f"_k_{k}") for k in (*key, "piece")]), same, "left_semi")
+    return replay(kept.drop("_prev"), [*key, "piece"], ["ts", "event_id"], _Logins, LOCKS)
 
 
 class _Logins:

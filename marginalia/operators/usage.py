@@ -44,12 +44,17 @@ def daily_rollup(priced: DataFrame) -> DataFrame:
 
 
 def refresh_rollup(stored: DataFrame, priced: DataFrame, now: Column) -> DataFrame:
-    """Recompute yesterday and today and merge; other days and vanished buckets stay as stored."""
+    """Recompute yesterday and today and merge; other days and vanished buckets stay as stored.
+
+    Only the two days of the stored rollup meet the new rows; all others pass by.
+    """
     today = F.to_date(now)
     start = F.date_sub(today, 1).cast("timestamp_ntz")
     end = F.date_add(today, 1).cast("timestamp_ntz")
     recent = priced.filter((F.col("created_at") >= start) & (F.col("created_at") < end))
-    return upsert(stored, daily_rollup(recent).select(*stored.columns), BUCKET)
+    touched = F.coalesce(F.col("day").between(F.date_sub(today, 1), today), F.lit(False))
+    fresh = upsert(stored.filter(touched), daily_rollup(recent).select(*stored.columns), BUCKET)
+    return stored.filter(~touched).unionByName(fresh)
 
 
 def usage_report(daily: DataFrame, group_by: str, start: str, end: str) -> DataFrame:

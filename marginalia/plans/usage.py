@@ -10,7 +10,7 @@ from marginalia.operators.paging import page
 from marginalia.operators.sinks import append_by_month, overwrite_partitions, upsert
 from marginalia.plans import fixtures as fx
 from marginalia.plans.fixtures import ntz
-from marginalia.session import prepare, scratch_path
+from marginalia.session import materialise, prepare, scratch_path
 from marginalia.sources.tables import table, tenant_view
 
 EXTRA = {
@@ -120,10 +120,9 @@ def snk_02_upsert(spark, d):
     written = spark.read.schema(stored.schema).parquet(path).select(*stored.columns)
     recent = priced(spark, d).filter(F.col("created_at") >= ntz("2024-01-29 00:00:00"))
     touched = F.col("day") >= F.lit("2024-01-29").cast("date")
-    merged = upsert(written.filter(touched), U.daily_rollup(recent).select(*stored.columns), U.BUCKET)
-    new_path = scratch_path(spark, "daily")
-    overwrite_partitions(written.filter(~touched).unionByName(merged), new_path, "day")
-    back = spark.read.schema(stored.schema).parquet(new_path)
+    merged = materialise(upsert(written.filter(touched), U.daily_rollup(recent).select(*stored.columns), U.BUCKET), "days")
+    overwrite_partitions(merged, path, "day")
+    back = spark.read.schema(stored.schema).parquet(path)
     return back.groupBy("day", "model").agg(
         F.sum("requests").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("cost").cast("double").alias("cost"))
