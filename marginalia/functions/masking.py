@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.functions.text import COUNT_KEYS, REDACTED, SENSITIVE_PARTS, is_sensitive_key, mask
-
-
-def sensitive_name(name: str) -> bool:
-    lowered = name.lower()
-    return lowered not in COUNT_KEYS and any(part in lowered for part in SENSITIVE_PARTS)
+from marginalia.functions.text import REDACTED, SENSITIVE_KEY, is_sensitive_key, mask
 
 
 def mask_record(value: Column, kind: T.DataType) -> Column:
@@ -27,7 +24,7 @@ def mask_record(value: Column, kind: T.DataType) -> Column:
         return F.transform_values(value, lambda k, v: F.when(~is_sensitive_key(k), mask_record(v, kind.valueType)))
     if isinstance(kind, T.StructType):
         fields = [
-            F.lit(REDACTED).alias(f.name) if sensitive_name(f.name)
+            F.lit(REDACTED).alias(f.name) if re.match(SENSITIVE_KEY, f.name)
             else mask_record(value.getField(f.name), f.dataType).alias(f.name)
             for f in kind.fields
         ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,5 +45,12 @@ def norm(vector: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def half_precision(vectors: pd.Series) -> pd.Series:
-    """Round to 16-bit floats and back; Spark has no half type, so the rounding is done on Arrow batches."""
-    return vectors.map(lambda v: None if v is None else v.astype("float16").astype("float32"))
+    """Round to 16-bit floats and back; Spark has no half type, so a batch's values are rounded together."""
+    known = vectors.notna()
+    held = vectors[known]
+    if len(held):
+        rounded = np.concatenate(held.to_list()).astype("float16").astype("float32")
+        ends = np.cumsum(held.map(len).to_numpy())[:-1]
+        vectors = vectors.copy()
+        vectors[known] = pd.Series(np.split(rounded, ends), index=held.index)
+    return vectors

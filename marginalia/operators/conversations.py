@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The names of the groups, by age.
 GROUPS = ("已釘選", "今天", "昨天", "前 7 天", "前 30 天", "更早")
 
 

@@ -90,20 +90,20 @@ def embedding_runs(documents: DataFrame, chunks: DataFrame, vectors: DataFrame,
     )
 
 
-def hash_model(dims: int) -> Callable:
-    """A ``make_model`` whose vectors equal ``functions.vectors.hash_embedding``; stands in for a real one."""
+def word_model(dims: int) -> Callable:
+    """A ``make_model`` of word counts: blank-separated words are counted at a place given by a hash of their letters.
+
+    The vector has unit length; a text without words has the zero vector.
+    """
     def make():
         import hashlib
 
-        blocks = (dims + 31) // 32
+        def place(word: bytes) -> int:
+            return int(hashlib.md5(word).hexdigest()[:8], 16) % dims
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            rows = []
-            for text in texts:
-                digest = hashlib.sha256(text.encode("utf-8")).digest()
-                raw = b"".join(hashlib.sha256(digest + n.to_bytes(4, "big")).digest() for n in range(blocks))
-                rows.append(np.frombuffer(raw, dtype=np.uint8)[:dims] / 255.0 - 0.5)
-            matrix = np.array(rows)
+            places = [[place(word) for word in str(text).encode("utf-8").split()] for text in texts]
+            matrix = np.stack([np.bincount(np.array(p, dtype=np.int64), minlength=dims) for p in places]).astype("float64")
             lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
             return (matrix / np.where(lengths == 0, 1.0, lengths)).astype("float32")
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import each
 from marginalia.functions.text import let
 from marginalia.session import materialise
 
 KANA = r"[\u3040-\u30FF]"
 HANGUL = r"[\uAC00-\uD7AF]"
 MIN_CONFIDENCE = 0.5
-VOCABULARY = 20_000
 
 
 def grams(text: Column) -> Column:
@@ -24,16 +22,28 @@ def grams(text: Column) -> Column:
     return let(F.split(F.lower(text), ""), windows)
 
 
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, gram, n: the different trigrams of each row's text, counted inside the row."""
+    def runs(sorted_grams: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(sorted_grams)),
+            lambda i: (i == F.size(sorted_grams)) | (i == 0) | (F.get(sorted_grams, i) != F.get(sorted_grams, i - 1)))
+        return let(starts, lambda at: F.transform(
+            F.sequence(F.lit(0), F.size(at) - 2),
+            lambda k: F.struct(F.get(sorted_grams, F.get(at, k)).alias("gram"), (F.get(at, k + 1) - F.get(at, k)).alias("n"))))
+
+    found = let(F.array_sort(grams(F.col("text"))), lambda g: F.when(F.size(g) > 0, let(g, runs)))
+    return rows.select(*keys, F.explode(found).alias("g")).select(*keys, "g.gram", "g.n")
+
+
 def train(samples: DataFrame) -> DataFrame:
     """gram, scores (language -> log probability) from (lang, text).
 
-    The model is the ``VOCABULARY`` most frequent trigrams: a table of fixed size, small enough to send
-    to every task whatever the size of the training set. Add-one smoothing.
+    Every trigram of the samples is in the model. Add-one smoothing.
     """
-    counts = each(samples, ["lang"], grams(F.col("text")), "gram").groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    counts = materialise(counts, "grams")
-    common = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "gram").limit(VOCABULARY).select("gram")
-    kept = counts.join(F.broadcast(common), "gram")
+    kept = materialise(
+        counted(samples, ["lang"]).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    common = kept.select("gram").distinct()
     totals = kept.groupBy("lang").agg(F.sum("n").alias("total"))
     have = kept.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("have"))
     rows = have.withColumn("langs", totals.agg(F.collect_list(F.struct("lang", "total"))).scalar()).withColumn(
@@ -46,18 +56,19 @@ def train(samples: DataFrame) -> DataFrame:
     return materialise(rows.select("gram", scores.alias("scores")), "language-model")
 
 
-def detect(docs: DataFrame, model: DataFrame, *, sample_chars: int | None = None) -> DataFrame:
-    """doc_id, language, confidence. ``sample_chars`` looks at the beginning only (off by default).
+def detect(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, language, confidence.
 
     Blank text is ``und``, kana means ``ja``, hangul means ``ko``; otherwise the best language of the
-    model, or ``und`` if its normalised probability is below one half.
+    model, or ``und`` if its normalised probability is below one half. A text sends each of its trigrams
+    once, with its count.
     """
-    text = F.col("text") if sample_chars is None else F.substring("text", 1, sample_chars)
-    rows = docs.select("doc_id", text.alias("text"))
+    rows = docs.select("doc_id", "text")
     script = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "und").when(F.col("text").rlike(KANA), "ja").when(F.col("text").rlike(HANGUL), "ko")
     marked = rows.withColumn("script", script)
-    asked = each(marked.filter("script is null"), ["doc_id"], grams(F.col("text")), "gram").drop("_pos")
-    scored = asked.join(F.broadcast(model), "gram").select("doc_id", F.explode("scores").alias("lang", "score"))
+    asked = counted(marked.filter("script is null"), ["doc_id"])
+    scored = asked.join(model, "gram").select("doc_id", "n", F.explode("scores").alias("lang", "score")).withColumn(
+        "score", F.col("score") * F.col("n"))
     sums = scored.groupBy("doc_id", "lang").agg(F.sum("score").alias("score"))
     best = sums.groupBy("doc_id").agg(F.max(F.struct("score", "lang")).alias("b"), F.collect_list("score").alias("all"))
     odds = F.aggregate("all", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("b.score")))

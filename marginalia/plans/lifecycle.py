@@ -155,8 +155,9 @@ def _pending(spark, d):
 
 
 def emb_02_batch_inference(spark, d):
-    out = E.embed_batches(_pending(spark, d), E.hash_model(64))
-    return out.select("chunk_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
+    out = E.embed_batches(_pending(spark, d), E.word_model(64))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return out.select("chunk_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0].cast("double"), 4).alias("first"), F.round(total, 4).alias("total"))
 
 
 def emb_03_pending_chunks(spark, d):
@@ -270,8 +271,13 @@ from fx_job_event where status = 'failed'""",
     "emb_01_hash_embedding": f"""
 select chunk_id, (p - 1)::int as pos, round(x, 9) as x from (select chunk_id, unnest(v) as x, generate_subscripts(v, 1) as p from (
 {_hash_sql('text', 'documents', 'doc_id as chunk_id', 40)}))""",
-    "emb_02_batch_inference": f"""
-select chunk_id, 64 as dims, round(v[1]::float::double, 4) as first from ({_hash_sql('content', f'({_PENDING})', 'chunk_id', 64)})""",
+    "emb_02_batch_inference": rf"""
+with p as ({_PENDING}),
+w as (select chunk_id, unnest(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) as word from p),
+c as (select chunk_id, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as place, count(*) as n from w group by 1, 2),
+v as (select chunk_id, place, n / sqrt(sum(n * n) over (partition by chunk_id)) as x from c)
+select p.chunk_id, 64 as dims, round(coalesce(max(x) filter (place = 0), 0.0)::float::double, 4) as first, round(coalesce(sum(x::float::double), 0.0), 4) as total
+from p left join v using (chunk_id) group by p.chunk_id""",
     "emb_03_pending_chunks": f"select chunk_id, content from ({_PENDING})",
     "emb_04_upsert_vectors": """
 with s as (select chunk_id, model, embedding_version, vector[1]::double as head from fx_embedding),

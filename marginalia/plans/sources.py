@@ -219,7 +219,7 @@ select page_id, url from pages where regexp_matches(lower(url), '^https?://blog\
   and len(list_filter(string_split(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(?i)https?://[^/]*(/.*)?$', 1), '/'), lambda s: s <> '')) <= 1""",
     "cln_07_languages": r"""
 with g as (select doc_id, lang, substr(t, i::int, 3) as gram from (select doc_id, lang, lower(text) as t, unnest(generate_series(1, length(text) - 2)) as i from documents)),
-c as (select lang, gram, count(*) as n from g group by 1, 2), v as (select gram from c group by 1 order by sum(n) desc, gram limit 20000),
+c as (select lang, gram, count(*) as n from g group by 1, 2), v as (select gram from c group by 1),
 k as (select c.* from c join v using (gram)), t as (select lang, sum(n) as total from k group by 1),
 m as (select v.gram, t.lang, ln((coalesce(k.n, 0) + 1) / (t.total + (select count(*) from v))) as score from v cross join t left join k on k.gram = v.gram and k.lang = t.lang),
 s as (select doc_id, m.lang, sum(m.score * x.n) as score from (select doc_id, gram, count(*) as n from g group by 1, 2) x join m using (gram) group by 1, 2),

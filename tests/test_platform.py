@@ -165,8 +165,11 @@ def test_embedding_helpers(spark):
     assert E.require_dimensions(vectors.filter("chunk_id = 1"), 2).count() == 1
     chunks = spark.createDataFrame([(i, f"text {i % 3}") for i in range(200)], "chunk_id long, content string")
     from marginalia.functions.vectors import half_precision, hash_embedding
-    both = E.embed_batches(chunks, E.hash_model(40)).withColumn("plain", hash_embedding(F.col("content"), 40)).collect()
-    assert all(max(abs(a - b) for a, b in zip(r.vector, r.plain)) < 1e-6 for r in both)
+    found = {r.content: r.vector for r in E.embed_batches(chunks, E.word_model(40)).collect()}
+    assert len(found) == 3 and all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in found.values())
+    odd = spark.createDataFrame([(1, "a a b"), (2, ""), (3, " \t")], "chunk_id long, content string")
+    made = {r.chunk_id: sorted(x for x in r.vector if x) for r in E.embed_batches(odd, E.word_model(40)).collect()}
+    assert [round(x, 6) for x in made[1]] == [0.447214, 0.894427] and made[2] == made[3] == []
     calls = spark.sparkContext.accumulator(0)
     def counted(once):
         assert once.count() == 3
