@@ -1,16 +1,14 @@
 """Retrieval: exact and approximate nearest chunks, merging, score gate, context selection.
 
-Vectors are the big side and do not move to be scored: a block of questions of checked size is sent to
-every task, each task keeps its own best k per question and knowledge base, and only those are shuffled.
-A few blocks mean a few passes over the vectors; more questions than that meet the vectors tile by tile,
-with nothing passing through the driver. No pair of question and chunk is ever a row unless it is among a
-task's best k.
+Vectors are the big side and do not move to be scored: questions are written once to the shared folder, every
+task reads those of its tenants in blocks, keeps its own best k per question and knowledge base, and only
+those are shuffled. Nothing passes through the driver, and no pair of question and chunk is ever a row
+unless it is among a task's best k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,14 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.functions.shared import BestHits, read_blocks
 from marginalia.functions.settings import clamped_float, clamped_int, settings
 from marginalia.functions.skew import last_n_before
 from marginalia.functions.text import strip
+from marginalia.session import scratch_path
 
 TOP_K, MAX_TOP_K = 40, 200
 CONTEXT_CHUNKS, TOKEN_BUDGET = 8, 4500
-BLOCK_BYTES = 128 * 1024 * 1024  # questions sent to every task at once, or one side of a tile
-MAX_PASSES = 4
+BLOCK_QUESTIONS = 4096  # questions a task reads at a time
 STEP_QUERIES = 256
 SCORE_DIGITS = 12
 HITS = "query_id long, kb_id string, chunk_id long, score double"
@@ -79,69 +78,32 @@ def nearest_chunks(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, *, ma
 
     ``queries``: query_id, vector and the match key (a question may have several). ``vectors``: chunk_id,
     kb_id, vector and the match key. Result: query_id, kb_id, chunk_id, score, rank; equal scores rank by
-    chunk id.
+    chunk id. A task holds a batch of vectors, a block of questions and its best hits, whatever the sizes.
     """
     k = max(1, min(k, MAX_TOP_K))
+    spark = queries.sparkSession
+    path = scratch_path(spark, "questions")
     asked = queries.select("query_id", F.col(match).cast("string").alias("match"), "vector")
+    asked.filter(F.col("match").isNotNull()).repartitionByRange("match").sortWithinPartitions("match").write.parquet(path)
     stored = vectors.select("chunk_id", "kb_id", F.col(match).cast("string").alias("match"), "vector")
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
-    if not size["n"]:
-        return asked.sparkSession.createDataFrame([], HITS + ", rank int")
-    per_block = max(1, BLOCK_BYTES // (8 * size["dims"]))
-    blocks = -(-size["n"] // per_block)
-    if blocks > MAX_PASSES:
-        found = _tiles(asked, stored, k, blocks, per_block)
-    else:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        passes = [_scan(asked.filter(block == n) if blocks > 1 else asked, stored, k) for n in range(blocks)]
-        found = reduce(DataFrame.unionByName, passes)
+    found = stored.filter(F.col("match").isNotNull()).mapInPandas(_search(path, k), HITS)
     best = W.partitionBy("query_id", "kb_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _scan(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """One block of questions goes to every task; vectors stay where they are."""
-    spark = asked.sparkSession
-    rows = asked.toPandas()
-    blocks = {
-        key: (part["query_id"].to_numpy(), _unit(np.stack(part["vector"].to_numpy())))
-        for key, part in rows.groupby("match")
-    }
-    shared = spark.sparkContext.broadcast(blocks)
-
+def _search(path: str, k: int):
+    """Vectors stay where they are; each batch of them meets the questions of its keys block by block."""
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        best = BestHits(["query_id", "kb_id"], "score", k)
         for batch in batches:
-            for key, part in batch.groupby("match"):
-                if key in shared.value:
-                    kept.append(_best(*shared.value[key], part, k))
-            if sum(map(len, kept)) > 500_000:
-                kept = [_prune(pd.concat(kept), k)]
-        if kept:
-            yield _prune(pd.concat(kept), k)
-
-    return stored.mapInPandas(search, HITS)
-
-
-def _tiles(asked: DataFrame, stored: DataFrame, k: int, blocks: int, per_tile: int) -> DataFrame:
-    """Questions in blocks against vectors in tiles; a hot tenant is spread over all its tiles."""
-    tiles = max(1, -(-stored.count() // per_tile))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
-    )
-    right = stored.withColumn("tile", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    )
-    keys = ["match", "tile", "block"]
-
-    def meet(questions: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if not len(questions) or not len(part):
-            return pd.DataFrame({"query_id": [], "kb_id": [], "chunk_id": [], "score": []}).astype(
-                {"query_id": "int64", "kb_id": "object", "chunk_id": "int64", "score": "float64"}
-            )
-        return _best(questions["query_id"].to_numpy(), _unit(np.stack(questions["vector"].to_numpy())), part, k)
+            parts = dict(list(batch.groupby("match")))
+            for block in read_blocks(path, BLOCK_QUESTIONS, "match", list(parts)):
+                for key, questions in block.groupby("match"):
+                    unit = _unit(np.stack(questions["vector"].to_numpy()))
+                    yield from best.add(_best(questions["query_id"].to_numpy(), unit, parts[key], k))
+        yield from best.rest()
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
+    return search
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -172,11 +134,6 @@ def _top_mask(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (level & (level.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
-def _prune(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(["score", "chunk_id"], ascending=[False, True])
-    return ordered[ordered.groupby(["query_id", "kb_id"]).cumcount() < k]
-
-
 def with_payload(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
     """Attach name, version, content, page or heading path to the few hits."""
     return hits.join(chunks.select("chunk_id", *columns), "chunk_id")
@@ -248,10 +205,13 @@ def score_gate(ranked: DataFrame, ratio: Column) -> DataFrame:
 
 
 def select_context(
-    ranked: DataFrame, *, max_chunks: int = CONTEXT_CHUNKS, token_budget: int = TOKEN_BUDGET, ratio: Column | None = None
+    ranked: DataFrame, *, max_chunks: int | Column = CONTEXT_CHUNKS, token_budget: int | Column = TOKEN_BUDGET,
+    ratio: Column | None = None
 ) -> DataFrame:
     """The chunks that go into the context: gate, then at most ``max_chunks``, then the token budget.
 
+    Each bound is a number for all questions or a column of their own settings.
+
     Needs a ``tokens`` column. The first chunk always goes in; the list ends at the first chunk that
     would overflow. Token counts are never negative, so that end is where the running sum passes.
     """
@@ -262,6 +222,30 @@ def select_context(
     return placed.withColumn("used_tokens", used).filter((F.col("position") == 1) | (F.col("used_tokens") <= token_budget))
 
 
+def question_settings(queries: DataFrame, kbs: DataFrame) -> DataFrame:
+    """query_id and the retrieval parameters of the first knowledge base that its tenant can search.
+
+    ``kbs``: tenant_id, kb_id, config of the bases that are available. A tenant without one has no row.
+    """
+    names = ("top_k", "context_chunks", "context_token_budget", "min_score_ratio")
+    first = rag_settings(kbs).groupBy("tenant_id").agg(F.min_by(F.struct(*names), "kb_id").alias("_p"))
+    return queries.select("query_id", "tenant_id").join(first, "tenant_id").select("query_id", "_p.*")
+
+
+def retrieve(queries: DataFrame, vectors: DataFrame, kbs: DataFrame, chunks: DataFrame, payload: list[str]) -> DataFrame:
+    """The context of each question under its own settings, with what the answer needs to show of each chunk.
+
+    ``chunks``: chunk_id, tokens and the ``payload`` columns, such as name, version, content, page, path.
+    The search runs once, to the largest top_k there is.
+    """
+    asked = question_settings(queries, kbs)
+    hits = nearest_chunks(queries, vectors, MAX_TOP_K).join(asked, "query_id").filter(F.col("rank") <= F.col("top_k"))
+    ranked = merge_candidates(hits, F.col("kb_id")).join(asked, "query_id").join(chunks.select("chunk_id", "tokens"), "chunk_id")
+    chosen = select_context(
+        ranked, max_chunks=F.col("context_chunks"), token_budget=F.col("context_token_budget"), ratio=F.col("min_score_ratio"))
+    return with_payload(chosen.select("query_id", "chunk_id", "kb_id", "score", "position", "used_tokens"), chunks, payload)
+
+
 def retrieval_trace(queries: DataFrame, candidates: DataFrame, selected: DataFrame) -> DataFrame:
     """Per question: candidates, chunks in context, tokens used, best score and spread."""
     found = candidates.groupBy("query_id").agg(

@@ -106,8 +106,8 @@ def merged(spark, d):
     return R.merge_candidates(groups(spark, d), F.struct("late", "kb_id"))
 
 
-def selected(spark, d):
-    sized = merged(spark, d).join(fx.embedding(spark, d).select("chunk_id", "tokens"), "chunk_id")
+def selected(spark, d, ranked=None):
+    sized = (ranked or merged(spark, d)).join(fx.embedding(spark, d).select("chunk_id", "tokens"), "chunk_id")
     return R.select_context(sized, token_budget=2000, ratio=F.lit(RATIO))
 
 
@@ -142,6 +142,18 @@ def ret_03_exact_top_k(spark, d):
     return hits(spark, d).withColumn("score", F.round("score", 4))
 
 
+def ret_03_settings_context(spark, d):
+    """The first base of each tenant sets how many hits, how many chunks, how many tokens and which ratio."""
+    vectors = fx.embedding(spark, d)
+    own = F.when(F.col("tenant_id") == "t0", '{"top_k":3,"context_chunks":2,"context_token_budget":900,"min_score_ratio":0.9}').otherwise(
+        '{"top_k":9,"context_chunks":6,"context_token_budget":2500}')
+    config = F.when(F.col("kb_id").endswith("-0"), F.concat(F.lit('{"retrieval":'), own, F.lit("}"))).otherwise('{"retrieval":{"top_k":1}}')
+    kbs = vectors.select("tenant_id", "kb_id").distinct().withColumn("config", config)
+    chunks = vectors.select("chunk_id", "tokens", F.concat(F.lit("doc-"), "doc_id").alias("document_name"), "embedding_version")
+    out = R.retrieve(fx.query(spark, d), R.searchable(vectors, "m", 1), kbs, chunks, ["document_name", "embedding_version"])
+    return out.withColumn("score", F.round("score", 4))
+
+
 def _ann(spark, d):
     vectors = R.searchable(fx.embedding(spark, d), "m", 1)
     celled, centres = R.build_cells(vectors, 16)
@@ -179,7 +191,8 @@ def ret_09_select_context(spark, d):
 
 
 def ret_10_trace(spark, d):
-    out = R.retrieval_trace(fx.query(spark, d), merged(spark, d), selected(spark, d))
+    ranked = materialise(merged(spark, d), "ranked")
+    out = R.retrieval_trace(fx.query(spark, d), ranked, selected(spark, d, ranked))
     return out.withColumn("top_score", F.round("top_score", 4)).withColumn("spread", F.round("spread", 4))
 
 
@@ -408,7 +421,7 @@ def cnv_06_title_search(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    ret_01_normalise_query, ret_02_search_query, ret_03_exact_top_k, ret_04_approximate_top_k, ret_04_recall, ret_05_rag_settings,
+    ret_01_normalise_query, ret_02_search_query, ret_03_exact_top_k, ret_03_settings_context, ret_04_approximate_top_k, ret_04_recall, ret_05_rag_settings,
     ret_06_merge_candidates, ret_07_distinct_queries, ret_08_score_gate, ret_09_select_context, ret_10_trace,
     ret_11_lexical_top_k, ret_12_fusion, ret_13_rerank, ret_14_merge_adjacent, ret_15_evaluation, ret_15_summary,
     ret_15_cross_language, ctx_01_context_blocks, ctx_02_user_turn, ctx_03_memory_window, ctx_04_active_prompt,
@@ -431,6 +444,17 @@ select message_id, {strip_sql("array_to_string(list_filter([b2, b1, q], lambda x
   select message_id, q, lag(q, 1) over w as b1, lag(q, 2) over w as b2 from (
     select *, case when message_id % 4 = 1 then '' else {strip_sql('content')} end as q from fx_message where role = 'user')
   window w as (partition by conversation_id order by created_at, message_id))""",
+    "ret_03_settings_context": """
+with p as (select * from (values ('t0', 3, 2, 900, 0.9::double), ('t1', 9, 6, 2500, 0.0::double)) as v(tenant_id, top_k, most, budget, ratio)),
+m as (select h.query_id, h.kb_id, h.chunk_id, h.score, p.most, p.budget, p.ratio,
+    row_number() over (partition by h.query_id order by h.score desc, h.chunk_id::varchar) as merged_rank
+  from rx_hit h join fx_query q using (query_id) join p using (tenant_id) where h.rank <= p.top_k),
+g as (select * from (select *, first_value(score) over (partition by query_id order by merged_rank) as best from m)
+  where ratio <= 0 or best <= 0 or merged_rank = 1 or score >= best * ratio),
+n as (select g.*, e.tokens, e.doc_id, e.embedding_version, row_number() over (partition by query_id order by merged_rank)::int as position from g join fx_embedding e using (chunk_id)),
+u as (select *, sum(tokens) over (partition by query_id order by position)::bigint as used_tokens from n where position <= most)
+select query_id, chunk_id, kb_id, case when round(score, 4) = 0 then 0.0::double else round(score, 4) end as score, position, used_tokens,
+  'doc-' || doc_id as document_name, embedding_version from u where position = 1 or used_tokens <= budget""",
     "ret_03_exact_top_k": "select query_id, kb_id, chunk_id, case when round(score, 4) = 0 then 0.0::double else round(score, 4) end as score, rank from rx_hit",
     "ret_05_rag_settings": """
 select tenant_id, kb_id,

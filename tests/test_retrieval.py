@@ -40,9 +40,9 @@ def test_exact_search_by_every_route(spark, corpus, monkeypatch):
     want = brute(asked, rows, 5)
     found = lambda: {(r.query_id, r.kb_id, r.chunk_id, r["rank"]) for r in R.nearest_chunks(queries, vectors, 5).collect()}
     assert found() == want
-    monkeypatch.setattr(R, "BLOCK_BYTES", 8 * 8 * 15)  # three blocks: three passes
+    monkeypatch.setattr(R, "BLOCK_QUESTIONS", 3)
     assert found() == want
-    monkeypatch.setattr(R, "MAX_PASSES", 1)  # the same blocks as tiles
+    monkeypatch.setattr("marginalia.functions.shared.KEPT_ROWS", 20)  # hits are pruned and handed on early
     assert found() == want
 
 
@@ -108,7 +108,7 @@ def test_lexical_blocks_agree(spark, monkeypatch):
     chunks = spark.createDataFrame([(i, f"Common word{i % 5}, text rare{i % 20} common") for i in range(60)], "chunk_id long, content string")
     rows = lambda: sorted(map(tuple, L.lexical_hits(queries, chunks, 4).collect()))
     one = rows()
-    monkeypatch.setattr(L, "BLOCK_TERMS", 10)
+    monkeypatch.setattr(L, "BLOCK_QUESTIONS", 5)
     assert rows() == one and len(one) == 48
 
 
