@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,7 +20,9 @@ HEADLINE = (
     "cln_05_kept_blocks", "cln_06_clean_stats", "src_06_heading_path", "chk_01_token_estimate", "chk_04_sentences",
     "chk_05_chunks", "emb_03_pending_chunks", "emb_06_distinct_texts", "ver_02_active_chunks", "job_01_job_ledger",
     "ret_03_exact_top_k", "ret_09_select_context", "ret_11_lexical_top_k", "ctx_01_context_blocks", "cit_02_citations",
-    "ans_01_assembled_answers", "ntf_01_collapse_ten_minutes", "usg_07_stream_rollup",
+    "ans_01_assembled_answers", "ntf_01_collapse_ten_minutes", "usg_07_stream_rollup", "chk_07_chunk_stats",
+    "cln_07_languages", "ret_03_settings_context", "ret_04_approximate_top_k", "ret_10_trace", "ret_14_merge_adjacent",
+    "qta_05_reservations",
 )
 
 
@@ -32,6 +35,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", str(2 * int(cpus) if cpus.isdigit() else 16))
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -67,7 +67,7 @@ def expired_partitions(partitions: DataFrame, retention: DataFrame, now: Column,
     ``retention`` (table_name, months) is one configuration line. Partitions are detached unless dropping
     is asked for; a partition without a readable bound is never touched.
     """
-    kept = F.broadcast(retention.select("table_name", cutoff(F.col("months"), now).alias("cutoff")))
+    kept = retention.select("table_name", cutoff(F.col("months"), now).alias("cutoff"))
     return partitions.join(kept, "table_name").filter(F.col("upper_bound") <= F.col("cutoff")).select(
         "table_name", "partition", "upper_bound", "cutoff", F.lit("drop" if drop else "detach").alias("action")
     )

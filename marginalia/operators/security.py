@@ -70,8 +70,14 @@ def token_reuse(events: DataFrame) -> DataFrame:
 
     ``events``: family, ts, event_id, presented, issued. A presented current token rotates to the issued
     one; a token rotated less than 10 s ago is answered with its successor; anything else ends the family.
+    A family that always presents the token issued just before cannot be revoked and is left out.
     """
     wanted = events.select("family", "ts", "event_id", "presented", "issued")
+    order = [F.col("ts"), F.col("event_id")]
+    seen = previous_by_bucket(wanted, ["family"], F.date_trunc("hour", "ts"), order, F.struct("issued"), "_prev")
+    odd = F.col("_prev").isNotNull() & ~F.col("presented").eqNullSafe(F.col("_prev.issued"))
+    suspect = seen.filter(odd).select(F.col("family").alias("_family")).distinct()
+    wanted = wanted.join(suspect, F.col("family").eqNullSafe(F.col("_family")), "left_semi")
     return replay(wanted, ["family"], ["ts", "event_id"], _Family, REVOCATIONS)
 
 

@@ -28,7 +28,7 @@ def cost(prompt: Column, completion: Column, prompt_price: Column, completion_pr
 
 def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``cost``; a model without a price costs NULL, not zero. The price list is one config line."""
-    joined = usage.join(F.broadcast(prices), "model", "left")
+    joined = usage.join(prices, "model", "left")
     spent = cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("prompt_price"), F.col("completion_price"))
     return joined.select(*usage.columns, spent.alias("cost"))
 

@@ -231,7 +231,7 @@ def stream_event(spark: SparkSession, d: str, read=table) -> DataFrame:
         "message_id", (F.col("pos") + 1).alias("seq"), F.lit("delta").alias("type"), "text", F.col("created_at").alias("ts")
     )
     ends = said.select(
-        "message_id", F.lit(100000).alias("seq"),
+        "message_id", (F.floor((F.length("content") - 1) / 40) + 2).cast("int").alias("seq"),
         F.when(F.col("message_id") % 7 == 0, "error").otherwise("done").alias("type"),
         F.lit(None).cast("string").alias("text"), (F.col("created_at") + minutes(1)).alias("ts"),
     )
@@ -341,7 +341,7 @@ where a.n <= 1 + (d.doc_id + s.pos) % 3""",
 select message_id, cast(i + 1 as int) as seq, 'delta' as type, substr(content, cast(i * 40 + 1 as int), 40) as text, created_at as ts
 from (select message_id, content, created_at, unnest(generate_series(0, (length(content) - 1) // 40)) as i from fx_message where role = 'assistant')
 union all
-select message_id, 100000, case message_id % 7 when 0 then 'error' else 'done' end, null, created_at + to_minutes(1)
+select message_id, cast((length(content) - 1) // 40 + 2 as int), case message_id % 7 when 0 then 'error' else 'done' end, null, created_at + to_minutes(1)
 from fx_message where role = 'assistant'""",
     "fx_user_role": """
 select u.user_id, 'src' || (u.user_id % 20) as tenant_id, r.role from (select distinct user_id from events) u
