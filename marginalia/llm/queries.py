@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, exact, langid, mixing, near, pii, quality, tokens, urls
+from marginalia.llm import decontam, exact, langid, lines, mixing, near, pii, quality, tokens, urls
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_extendible_hash(spark: SparkSession, base: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, base, "documents"))
 
 
+def op2_line_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """All documents without the chunks of lines that stand elsewhere too; a digest of what is left."""
+    found = lines.cut_repeated_lines(_table(spark, base, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_cut", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_support_vectors(spark: SparkSession, base: str) -> DataFrame:
     """The quality of every document, learned from the labels of those not held out."""
     docs = _table(spark, base, "documents")
@@ -91,6 +97,7 @@ def op10_character_ratio(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_hash": op1_extendible_hash,
+    "op2_line_chunks": op2_line_chunks,
     "op3_support_vectors": op3_support_vectors,
     "op4_packed_tokens": op4_packed_tokens,
     "op5_minhash": op5_minhash,
@@ -102,5 +109,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_extendible_hash": exact.ORACLE,
+    "op2_line_chunks": lines.ORACLE,
     "op7_fair_queue": mixing.ORACLE,
 }
