@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.functions.skew import running_count
+from marginalia.functions.vectors import unit
 from marginalia.operators import citations as A
 from marginalia.operators import context as P
 from marginalia.operators import conversations as V
@@ -168,6 +170,27 @@ def ret_04_recall(spark, d):
     return R.recall(hits(spark, d), _ann(spark, d))
 
 
+def ret_04_checked(spark, d):
+    """Per question: approximate hits whose score is not the exact cosine, hits out of order, and whether there are any."""
+    found = _ann(spark, d)
+    stored = fx.embedding(spark, d).select("chunk_id", unit(F.col("vector").cast("array<double>")).alias("v"))
+    asked = fx.query(spark, d).select("query_id", unit(F.col("vector")).alias("q"))
+    cosine = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+    checked = found.join(asked, "query_id").join(stored, "chunk_id").withColumn("_wrong", F.abs(cosine - F.col("score")) > 1e-9)
+    place = W.partitionBy("query_id", "kb_id").orderBy("rank")
+    odd = F.lag("score").over(place) < F.col("score")
+    return checked.withColumn("_odd", F.coalesce(odd, F.lit(False))).groupBy("query_id").agg(
+        F.count_if("_wrong").alias("wrong_scores"), F.count_if("_odd").alias("out_of_order"), (F.count("*") > 0).alias("any_hits"))
+
+
+def ret_04_recall_bound(spark, d):
+    """Whether the search finds at least three tenths of the exact hits when six of sixteen cells are opened.
+
+    The questions' vectors have no direction in common with the stored ones, so no cell is better than another.
+    """
+    return ret_04_recall(spark, d).agg((F.avg("recall") >= 0.3).alias("enough"))
+
+
 def ret_05_rag_settings(spark, d):
     return R.rag_settings(fx.kb(spark, d)).drop("config", "deleted_at")
 
@@ -421,7 +444,7 @@ def cnv_06_title_search(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    ret_01_normalise_query, ret_02_search_query, ret_03_exact_top_k, ret_03_settings_context, ret_04_approximate_top_k, ret_04_recall, ret_05_rag_settings,
+    ret_01_normalise_query, ret_02_search_query, ret_03_exact_top_k, ret_03_settings_context, ret_04_approximate_top_k, ret_04_recall, ret_04_checked, ret_04_recall_bound, ret_05_rag_settings,
     ret_06_merge_candidates, ret_07_distinct_queries, ret_08_score_gate, ret_09_select_context, ret_10_trace,
     ret_11_lexical_top_k, ret_12_fusion, ret_13_rerank, ret_14_merge_adjacent, ret_15_evaluation, ret_15_summary,
     ret_15_cross_language, ctx_01_context_blocks, ctx_02_user_turn, ctx_03_memory_window, ctx_04_active_prompt,
@@ -444,6 +467,8 @@ select message_id, {strip_sql("array_to_string(list_filter([b2, b1, q], lambda x
   select message_id, q, lag(q, 1) over w as b1, lag(q, 2) over w as b2 from (
     select *, case when message_id % 4 = 1 then '' else {strip_sql('content')} end as q from fx_message where role = 'user')
   window w as (partition by conversation_id order by created_at, message_id))""",
+    "ret_04_checked": "select query_id, 0::bigint as wrong_scores, 0::bigint as out_of_order, true as any_hits from fx_query",
+    "ret_04_recall_bound": "select true as enough",
     "ret_03_settings_context": """
 with p as (select * from (values ('t0', 3, 2, 900, 0.9::double), ('t1', 9, 6, 2500, 0.0::double)) as v(tenant_id, top_k, most, budget, ratio)),
 m as (select h.query_id, h.kb_id, h.chunk_id, h.score, p.most, p.budget, p.ratio,

@@ -247,6 +247,13 @@ def chk_05_chunks(spark, d):
     return chunks.select("doc_id", "seq", "text", "token_count", "page", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
+def chk_05_sections(spark, d):
+    """With room for everything, a chunk is what stands between headings and tables below its heading."""
+    roomy = headed_blocks(spark, d).withColumn("target_tokens", F.lit(10**8)).withColumn("overlap_tokens", F.lit(0))
+    chunks = K.chunk_documents(roomy)
+    return chunks.select("doc_id", "seq", "text", "token_count", "page", F.array_join("heading_path", " > ").alias("heading_path"))
+
+
 def chk_06_hard_split(spark, d):
     docs = T.table(prepare(spark), d, "documents")
     return each(docs, ["doc_id"], X.hard_split(F.col("text"), F.lit(100)), "piece", "piece_no")
@@ -332,7 +339,7 @@ QUERIES = {f.__name__: f for f in (
     ing_04_exact_duplicates, ing_04_unseen_documents, ing_05_admission, ing_06_fair_waves, cln_01_match_text,
     cln_02_clean_text, cln_03_repeated_headers, cln_04_garbled, cln_05_kept_blocks, cln_06_clean_stats,
     cln_08_quality_report, cln_09_sensitive_flags, chk_01_token_estimate, chk_02_block_markdown, chk_03_document_markdown,
-    chk_04_sentences, chk_05_chunks, chk_06_hard_split, chk_07_chunk_stats, chk_08_chunk_settings,
+    chk_04_sentences, chk_05_chunks, chk_05_sections, chk_06_hard_split, chk_07_chunk_stats, chk_08_chunk_settings,
 )}
 
 _MARKDOWN = """
@@ -426,6 +433,20 @@ select doc_id, block_order, kinds from (select doc_id, block_order, concat_ws(',
     "chk_02_block_markdown": _MARKDOWN,
     "chk_03_document_markdown": f"""
 select doc_id, string_agg(markdown, chr(10) || chr(10) order by block_order) as markdown from ({_MARKDOWN}) group by doc_id""",
+    "chk_05_sections": rf"""
+with b as (select x.*, coalesce(path, '') as path from hx_block x left join hx_path p using (doc_id, block_order)),
+s as (select *, sum((type <> 'paragraph')::int) over w as part, max(case when type = 'heading' then block_order end) over w as head_order
+  from b where type <> 'paragraph' or {strip_sql('text')} <> '' window w as (partition by doc_id order by block_order rows unbounded preceding)),
+h as (select doc_id, block_order as head_order, text as title, case when path = '' then text else path || ' > ' || text end as own,
+    least(6, (case when path = '' then 0 else len(string_split(path, ' > ')) end) + 1)::int as depth, page from s where type = 'heading'),
+c as (select s.doc_id, min(block_order) as place, any_value(s.head_order) as head_order, type = 'table' as alone,
+    string_agg(s.text, chr(10) || chr(10) order by block_order) as body, arg_min(s.page, block_order) as page
+  from s where type <> 'heading' group by s.doc_id, s.part, type = 'table'),
+f as (select c.doc_id, place, {strip_sql("case when alone or h.title is null then body else repeat('#', depth) || ' ' || title || chr(10) || chr(10) || body end")} as text,
+    case when alone then c.page else coalesce(h.page, first_value(case when not alone then c.page end ignore nulls) over (partition by c.doc_id, c.head_order order by place)) end as page, coalesce(own, '') as heading_path
+  from c left join h on h.doc_id = c.doc_id and h.head_order = c.head_order)
+select doc_id, (row_number() over (partition by doc_id order by place) - 1)::int as seq, text, {tokens_sql('text')} as token_count, page, heading_path
+from f where text <> ''""",
     "chk_04_sentences": rf"""
 with s as (select doc_id, string_split(regexp_replace(text, '([。！？；!?;]){WS}*|([.]){WS}+|\n+', '\1\2' || chr(1), 'g'), chr(1)) as parts
   from documents where length(text) > 0)
