@@ -17,7 +17,7 @@ from marginalia.functions.skew import running_sum
 from marginalia.session import materialise
 
 #: Rows of a source that are put in order by one task, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,13 +27,13 @@ def shuffle_key(seed: str) -> Column:
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """_source, _rank, _source_size, _target: ``share`` of all sizes, dealt by weight, no source above its limit.
+    """_source, _rank, _rows, _source_size, _target: ``share`` of all sizes, dealt by weight, no source above its limit.
 
     What sources cannot take is dealt again to the others by weight. The level at which that ends is the
     largest of (budget - limits of the sources before) / (weights of the others), over the sources in order
     of limit per weight.
     """
-    sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
+    sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.count("*").alias("_rows"))
     by_name = Window.orderBy(F.col("_source").asc_nulls_last())
     ranked = sizes.withColumn("_rank", F.row_number().over(by_name))
     place = (F.col("_rank") - 1) % len(weights)
@@ -46,7 +46,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...], share: float, repeats: in
     level = (F.lit(share) * F.sum("_source_size").over(everything) - before) / after
     leveled = limited.withColumn("_level", level).withColumn("_level", F.max("_level").over(everything))
     return leveled.select(
-        "_source", "_rank", "_source_size",
+        "_source", "_rank", "_rows", "_source_size",
         F.least(F.col("_limit").cast("double"), F.col("_level") * F.col("_weight")).alias("_target"))
 
 
@@ -61,11 +61,17 @@ def _range_of(finish: Column, n: int) -> Column:
     return F.when(finish < 1, F.floor(finish * n)).otherwise(n + F.floor(n * F.log2(finish))).cast("long")
 
 
-def _placed(rows: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
+def _bucket() -> Column:
+    """A stretch of the source's shuffled order with about BUCKET_ROWS rows, however many the source has."""
+    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    return F.floor(place * F.ceil(F.col("_rows") / BUCKET_ROWS) / (1 << 32))
+
+
+def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds _sofar, _rank, _source_size, _target to rows of _source, _size, _key."""
-    summed = running_sum(
-        rows, ["_source"], F.substring("_key", 1, depth), [F.col("_key"), F.col("_size")], F.col("_size"), "_sofar")
-    return summed.join(sources.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    named = sources.withColumnRenamed("_source", "_s")
+    known = rows.join(named, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    return running_sum(known, ["_source"], _bucket(), [F.col("_key"), F.col("_size")], F.col("_size"), "_sofar")
 
 
 def _cut(placed: DataFrame, repeats: int, budget: float, ranges: int) -> Row | None:
@@ -111,12 +117,10 @@ def _scheduled(docs: DataFrame, weights: tuple[int, ...], share: float, repeats:
     rows = materialise(docs.select(doc_id, *sized), "mix-rows")
     sources = materialise(targets(rows, weights, share, repeats), "mix-sources")
     measured = rows.agg(F.count("*").alias("n"), F.sum("_size").alias("size")).first()
-    steps = max(1, math.ceil(measured.n / BUCKET_ROWS))
-    depth = max(1, math.ceil(math.log(steps, 16)))
-    placed = materialise(_placed(rows, sources, depth), "mix-placed")
-    cut = _cut(placed, repeats, share * (measured.size or 0), 16 * steps)
+    placed = materialise(_placed(rows, sources), "mix-placed")
+    cut = _cut(placed, repeats, share * (measured.size or 0), max(1, math.ceil(measured.n / BUCKET_ROWS)))
     if whole:
-        placed = _placed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *sized), sources, depth)
+        placed = _placed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *sized), sources)
     return placed.withColumn("_turns", _turns_taken(cut, repeats))
 
 
