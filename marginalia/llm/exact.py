@@ -18,7 +18,7 @@ from marginalia.session import materialise, scratch_path
 #: Entries of a bucket, at most, unless they all have one key.
 CAPACITY = 4096
 #: Buckets written by one owner task.
-OWNED = 64
+OWNED = 16
 
 
 def normal(text: Column) -> Column:
