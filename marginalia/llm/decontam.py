@@ -34,7 +34,7 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     count = max(len(hashes) - n + 1, 0)
     total = np.full(count, np.uint64(n), dtype=np.uint64)
     for k in range(n):
-        total *= np.uint64(0x9E3779B97F4A7C15)
+        total *= W.BASE
         total += hashes[k : k + count]
     return W.mix(total)
 

@@ -94,14 +94,14 @@ def _flat(numbers: list[int], parts: list[str]) -> _Flat:
     starts, ends = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
     weights = np.where(inside, W.mix(low.astype(np.uint64)), _EDGE)
     total = np.zeros(len(low) + 1, dtype=np.uint64)
-    np.cumsum(weights * W._power("up", W._BASE, len(low)), out=total[1:])
+    np.cumsum(weights * W.power("up", len(low)), out=total[1:])
     begins = np.cumsum([1, *(len(p) + 1 for p in parts)])
     rows = np.array(numbers)[np.searchsorted(begins, starts, side="right") - 1] if len(starts) else np.zeros(0, np.int64)
     return _Flat(rows, starts, ends, _hash(total, starts, ends - starts), total)
 
 
 def _hash(total: np.ndarray, starts: np.ndarray, lengths) -> np.ndarray:
-    return W.mix((total[starts + lengths] - total[starts]) * W._power("down", W._INVERSE, len(total))[starts])
+    return W.mix((total[starts + lengths] - total[starts]) * W.power("down", len(total))[starts])
 
 
 def _grams(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

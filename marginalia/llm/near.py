@@ -53,7 +53,7 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
 def _bands(signed: np.ndarray) -> np.ndarray:
     keys = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for column in signed.reshape(BANDS, ROWS).T:
-        keys = W.mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+        keys = W.mix(keys * W.BASE + column)
     return keys.view(np.int64)
 
 

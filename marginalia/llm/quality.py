@@ -67,7 +67,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
         shape = W.mix(shape)
         runs, run = [], np.zeros(len(shape), dtype=np.uint64)
         for n in range(1, SHAPES + 1):
-            run = W.mix(run[: len(shape) - n + 1] * W._BASE + shape[n - 1 :]) if n <= len(shape) else shape[:0]
+            run = W.mix(run[: len(shape) - n + 1] * W.BASE + shape[n - 1 :]) if n <= len(shape) else shape[:0]
             runs.append((run >> np.uint64(49)).astype(np.int32) + HALF)
         word = (part.hashes >> np.uint64(49)).astype(np.int32)
         for a, b in zip(part.offsets[:-1], part.offsets[1:]):

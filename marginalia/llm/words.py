@@ -18,7 +18,7 @@ SLICE = 1 << 20
 _random = np.random.default_rng(20240229)
 _WEIGHT = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WEIGHT[0] = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
@@ -49,17 +49,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _powers:
-        steps = np.full(SLICE + 1, base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[name] = np.cumprod(steps)
-    return _powers[name][:n]
-
-
 def power(way: str, n: int) -> np.ndarray:
     """The first ``n`` powers of the hash base ("up") or of its inverse ("down"); n is at most a slice and one."""
-    return _power(way, _BASE if way == "up" else _INVERSE, n)
+    if way not in _powers:
+        steps = np.full(SLICE + 1, BASE if way == "up" else _INVERSE, dtype=np.uint64)
+        steps[0] = 1
+        _powers[way] = np.cumprod(steps)
+    return _powers[way][:n]
 
 
 class Words(NamedTuple):
@@ -95,8 +91,8 @@ def _hashed(raw: np.ndarray, edges: np.ndarray, alphabet: np.ndarray):
     starts = np.flatnonzero(inside & ~before[:-1])
     ends = np.flatnonzero(inside & ~after[1:]) + 1
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_WEIGHT[low] * _power("up", _BASE, len(raw)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", _INVERSE, len(raw))[starts]), starts, ends
+    np.cumsum(_WEIGHT[low] * power("up", len(raw)), out=total[1:])
+    return mix((total[ends] - total[starts]) * power("down", len(raw))[starts]), starts, ends
 
 
 def _long_text(raw: np.ndarray, alphabet: np.ndarray):
@@ -150,5 +146,5 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     count = len(hashes) - n + 1
     total = np.full(count, np.uint64(n), dtype=np.uint64)
     for k in range(n):
-        total = mix(total * _BASE + hashes[k : k + count])
+        total = mix(total * BASE + hashes[k : k + count])
     return np.unique(total)
