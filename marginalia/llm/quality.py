@@ -22,8 +22,8 @@ from marginalia.session import materialise
 #: Indicators: the first half for words, the second for runs of shapes.
 HALF = 1 << 15
 SHAPES = 4
-#: Labelled documents of each class that the linear model is fitted on, and the most indicators of one of them.
-SAMPLE_ROWS, SAMPLE_FEATURES = 4000, 20_000
+#: Labels of each class that the model is fitted on, about, and the most indicators of one of their documents.
+SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 20_000
 
 _FEATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()),
@@ -89,14 +89,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=_FEATURES.names)
 
 
-def log_count_ratios(featured: DataFrame) -> np.ndarray:
-    """Log of the share of each indicator among good texts over that among bad ones, over all labelled rows."""
-    counts = featured.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(
-        F.sum(F.col("label")).alias("good"), F.sum(1 - F.col("label")).alias("bad")).toArrow()
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Log of the share of each indicator among good texts over that among bad ones, each counted once more."""
     both = np.ones((2, 2 * HALF))
-    at = counts["feature"].to_numpy()
-    both[1, at] += counts["good"].to_numpy()
-    both[0, at] += counts["bad"].to_numpy()
+    for found, label in zip(rows, labels):
+        both[int(label), found] += 1
     shares = np.log(both / both.sum(axis=1, keepdims=True))
     return shares[1] - shares[0]
 
@@ -151,27 +148,27 @@ def _margins(rows, weights: np.ndarray, squares: np.ndarray, bias: float) -> np.
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
     """Learn from the texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1).
 
-    Rows without doc_id or label are passed over; a null text is empty. The scales of the indicators come
-    from all labelled texts. The linear model is fitted on about ``sample_rows`` documents of each class,
-    chosen by a hash of their ids, of at most ``sample_features`` indicators; every fifth of them sets the
-    curve from margins to probabilities, in the classes' shares among all labels. With one class only the
-    score is its share, with no labels 0.5.
+    Rows without doc_id or label are passed over; a null text is empty. The model is fitted on about
+    ``sample_rows`` labels of each class, chosen by a hash of their ids, and the documents that have them; the
+    sample's ids are what is broadcast. Documents of more than ``sample_features`` indicators are left out.
+    Every fifth document sets the curve from margins to probabilities, in the classes' shares among all
+    labels. With one class only the score is its share, with no labels 0.5.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     marked = marked.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    shares = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+    shares = {r.label: r["count"] for r in marked.filter("doc_id is not null").groupBy("label").count().collect()}
     if len(shares) < 2:
         level = 30.0 if 1 in shares else -30.0 if 0 in shares else 0.0
         return Model(np.zeros(2 * HALF), np.zeros(2 * HALF), 0.0, 1.0, level)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    labelled = texts.join(marked, "doc_id").select("doc_id", "label", "text")
-    featured = materialise(labelled.mapInArrow(_featured, _FEATURES), "quality-features")
-    scale = log_count_ratios(featured)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     wanted = F.when(F.col("label") == 1, sample_rows / shares[1]).otherwise(sample_rows / shares[0])
-    sample = featured.filter((chance < wanted) & (F.size("features") <= sample_features)).orderBy("doc_id").toArrow()
+    chosen = F.broadcast(marked.filter(chance < wanted))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sampled = texts.join(chosen, "doc_id").select("doc_id", "label", "text").mapInArrow(_featured, _FEATURES)
+    sample = materialise(sampled.filter(F.size("features") <= sample_features), "quality-sample").orderBy("doc_id").toArrow()
     rows = [np.asarray(r.values) for r in sample["features"].combine_chunks()] if sample.num_rows else []
     label = sample["label"].to_numpy().astype(float)
+    scale = log_count_ratios(rows, label)
     n = np.array([max(1, (label == k).sum()) for k in (0, 1)])
     cost = 4.0 * len(label) / (2 * n[label.astype(int)])
     checked = np.arange(len(rows)) % 5 == 4
