@@ -61,6 +61,16 @@ def cleaned(blocks: DataFrame) -> DataFrame:
     return kept.select(*rest, F.col("block_order").alias("old_order"), place.alias("block_order"), F.col("clean_text").alias("text"))
 
 
+def cleaned_texts(blocks: DataFrame) -> DataFrame:
+    """doc_id, text: what is left of each document, its kept blocks in order, one below the other.
+
+    A document of which nothing is left has the empty text.
+    """
+    kept = F.array_sort(F.collect_list(F.when(F.col("fate") == "kept", F.struct("block_order", "clean_text"))))
+    return judged(blocks).groupBy("doc_id").agg(kept.alias("_kept")).select(
+        "doc_id", F.array_join(F.transform("_kept", lambda b: b["clean_text"]), "\n").alias("text"))
+
+
 def clean_stats(blocks: DataFrame) -> DataFrame:
     """Per document: blocks without headers, dropped blocks, removed headers, drop rate and its warning."""
     fates = judged(blocks).groupBy("doc_id").agg(

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.operators import clean as C
 from marginalia.operators import language as G
+from marginalia.plans import fixtures as fx
+from marginalia.plans import text as cleaning
 from marginalia.plans.text import strip_sql
 from marginalia.session import prepare
 from marginalia.sources import layout as Y
@@ -14,7 +17,7 @@ from marginalia.sources.tables import table
 
 WORDS = r"[^\p{L}\p{N} ]"
 
-EXTRA = {
+EXTRA = cleaning.EXTRA | {
     "mx_line": rf"""
 select doc_id, i, 'w ' || trim(regexp_replace(l, '[^\p{{L}}\p{{N}} ]', '', 'g')) as w, (i + length(l)) % 6 as k from (
   select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)""",
@@ -162,8 +165,9 @@ def src_12_same_site(spark, d):
 
 
 def cln_07_languages(spark, d):
+    """What cleaning leaves of a document decides its language; the model knows the raw texts."""
     docs = table(prepare(spark), d, "documents")
-    out = G.detect(docs, G.train(docs.select("lang", "text")))
+    out = G.detect(C.cleaned_texts(fx.block(spark, d)), G.train(docs.select("lang", "text")))
     return out.withColumn("confidence", F.round("confidence", 3))
 
 
@@ -222,8 +226,10 @@ with g as (select doc_id, lang, substr(t, i::int, 3) as gram from (select doc_id
 c as (select lang, gram, count(*) as n from g group by 1, 2), v as (select gram from c group by 1),
 k as (select c.* from c join v using (gram)), t as (select lang, sum(n) as total from k group by 1),
 m as (select v.gram, t.lang, ln((coalesce(k.n, 0) + 1) / (t.total + (select count(*) from v))) as score from v cross join t left join k on k.gram = v.gram and k.lang = t.lang),
-s as (select doc_id, m.lang, sum(m.score * x.n) as score from (select doc_id, gram, count(*) as n from g group by 1, 2) x join m using (gram) group by 1, 2),
+d as (select doc_id, coalesce(string_agg(c, chr(10) order by block_order) filter (fate = 'kept'), '') as text from cx_judged group by 1),
+y as (select doc_id, substr(t, i::int, 3) as gram from (select doc_id, lower(text) as t, unnest(generate_series(1, length(text) - 2)) as i from d)),
+s as (select doc_id, m.lang, sum(m.score * x.n) as score from (select doc_id, gram, count(*) as n from y group by 1, 2) x join m using (gram) group by 1, 2),
 b as (select doc_id, arg_max(lang, score) as lang, 1 / sum(exp(score - top)) as confidence from (select *, max(score) over (partition by doc_id) as top from s) group by 1)
 select d.doc_id, case when trim(text) = '' then 'und' when confidence >= 0.5 then b.lang else 'und' end as language, case when trim(text) <> '' then round(confidence, 3) end as confidence
-from documents d left join b using (doc_id)""",
+from d left join b using (doc_id)""",
 }
