@@ -179,12 +179,12 @@ QUERIES = {f.__name__: f for f in (
 
 def _main_text_sql(html: str) -> str:
     bare = rf"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
-    for tag in H.DROPPED:
+    for tag in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "head"):
         bare = rf"regexp_replace({bare}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
-    lines = rf"regexp_replace(regexp_replace({bare}, '{H.BLOCK_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
-    for name, char in H.ENTITIES:
-        shown = char.replace("'", "''")
-        lines = f"replace({lines}, '{name}', '{shown}')"
+    breaks = "(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|table|tr|article|section|main|blockquote|pre|td|th)\\b[^>]*>"
+    lines = rf"regexp_replace(regexp_replace({bare}, '{breaks}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, shown in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        lines = f"replace({lines}, '&{name};', '{shown}')"
     tidy = rf"regexp_replace(regexp_replace({lines}, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
     return rf"trim(regexp_replace({tidy}, '^\n+|\n+$', '', 'g'))"
 

@@ -3,26 +3,55 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import let
 from marginalia.operators.intake import mark_duplicates
 
 # Page furniture that is not main text, dropped with its content.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "head")
 BLOCK_TAGS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|table|tr|article|section|main|blockquote|pre|td|th)\b[^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+RAW = ("script", "style")
 TRACKING = r"^(?:utm_[a-z]+|gclid|fbclid|ref)="
 
 
+def dropped_pattern(tag: str) -> str:
+    return rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>{'|\\z' if tag in RAW else ''})"
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters: numbers, and the names of HTML 4; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(v) for n, c in name2codepoint.items() for v in (n, " " if n == "nbsp" else chr(c))],
+                         F.lit("apos"), F.lit("'"))
+
+    def character(body: Column) -> Column:
+        code = F.when(F.rlike(body, F.lit("^#[xX]")), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
+        number = code.cast("long")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(~F.startswith(body, F.lit("#")), F.try_element_at(names, body)).when(valid, made).otherwise("\uFFFD")
+
+    def replaced(piece: Column, at: Column) -> Column:
+        body = F.substring_index(piece, ";", 1)
+        shown = F.concat(character(body), F.substr(piece, F.length(body) + 2))
+        return F.when(at == 0, piece).otherwise(F.coalesce(shown, F.concat(F.lit("&"), piece)))
+
+    pieces = F.split(text, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});)", -1)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, replaced), "")).otherwise(text)
+
+
 def main_text(html: Column) -> Column:
-    """Visible text of a page: furniture and comments removed, block tags as line breaks, entities decoded."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    bare = reduce(lambda t, tag: F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", ""), DROPPED, bare)
+    """Visible text of a page: furniture and comments removed, block tags as line breaks, references decoded.
+
+    A comment, script or style that is never closed takes the rest of the page with it.
+    """
+    bare = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    bare = reduce(lambda t, tag: F.regexp_replace(t, dropped_pattern(tag), ""), DROPPED, bare)
     lines = F.regexp_replace(F.regexp_replace(bare, BLOCK_TAGS, "\n"), r"<[^>]*>", "")
-    text = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, lines)
-    tidy = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
+    tidy = F.regexp_replace(F.regexp_replace(let(lines, decoded), r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
     return F.trim(F.regexp_replace(tidy, r"^\n+|\n+$", ""))
 
 

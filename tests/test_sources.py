@@ -159,6 +159,13 @@ def test_web(spark):
     assert (got[1].is_duplicate, got[2].is_duplicate) == (False, True) and got[1].main_text == "One & two\n3"
 
 
+def test_page_text_of_references_and_open_ends(spark):
+    pages = ["a &#65;&#x1F600;&copy;&eacute; &nope; &amp;#66; &#0; &#55296; &", "one<script>two</p>three", "a<!-- b <p>c", "<style>x</style>y<nav>z", None]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r.i: r.t for r in rows.select("i", H.main_text(F.col("html")).alias("t")).collect()}
+    assert got == {0: "a A😀©é &nope; &#66; \ufffd \ufffd &", 1: "one", 2: "a", 3: "yz", 4: None}
+
+
 def test_objects_and_foreign_keys(spark, tmp_path):
     (tmp_path / "tenant-a" / "kb" / "k1").mkdir(parents=True)
     (tmp_path / "tenant-a" / "kb" / "k1" / "7").write_bytes(b"\x00abc")
