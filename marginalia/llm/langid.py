@@ -145,11 +145,11 @@ def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int
     languages, sizes = [r.lang for r in shares], np.array([r.rows for r in shares], dtype=float)
     if not languages:
         return Model([], np.zeros(0), {})
-    sizes_of = docs.sparkSession.createDataFrame([(r.lang, r.rows) for r in shares], "lang string, rows long")
+    size_of = F.create_map(*[F.lit(v) for r in shares for v in (r.lang, r.rows)])
     while True:
         chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-        sample = rows.filter(F.length("text") <= sample_chars).join(sizes_of, "lang").filter(
-            chance * F.col("rows") < sample_rows).select("lang", "text")
+        sample = rows.filter(F.length("text") <= sample_chars).filter(
+            chance * F.try_element_at(size_of, F.col("lang")) < sample_rows).select("lang", "text")
         counted = materialise(
             sample.mapInArrow(_count, _COUNTS).groupBy("lang", "kind", "hash").agg(F.sum("n").cast("long").alias("n")),
             "language-counts")
