@@ -61,7 +61,9 @@ _SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
 ])
-_SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([
+    T.StructField("node", T.LongType()), T.StructField("own", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())),
+])
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -93,7 +95,9 @@ def _collect_sets(size: int):
             for part in W.words(batch.column(1), W.BLANK_SEPARATED):
                 rows = [W.shingles(part.hashes[a:b], size) for a, b in zip(part.offsets[:-1], part.offsets[1:])]
                 ids = batch.column(0).slice(part.first, len(rows)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, _lists([r.view(np.int64) for r in rows])], names=_SETS.names)
+                own = [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(own, pa.int64()), _lists([r.view(np.int64) for r in rows])], names=_SETS.names)
 
     return sets
 
@@ -120,12 +124,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets agree to at least ``percent``."""
+    """The pairs (a, b) of which any two whole sets agree to at least ``percent``."""
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
-    return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * union).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * union).select("a", "b").distinct()
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -142,12 +146,13 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first common element on bounds what two sets can share, which leaves out texts that share a passage and
     have too much of their own.
     """
-    held = sets.join(nodes, "node").select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    held = sets.join(nodes, "node").select(
+        "node", "own", F.size("shingles").alias("n"), "component", F.explode("shingles").alias("shingle"))
     seen = materialise(
         held.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .filter("f > 1"), "near-shingles")
     ranked = held.join(seen, "shingle", "left").withColumn(
-        "place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(1)), "shingle")))
+        "place", F.row_number().over(Window.partitionBy("node", "own").orderBy(F.coalesce("f", F.lit(1)), "shingle")))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = materialise(ranked.filter(F.col("place") <= first).filter("lo < hi")
                        .select("shingle", "node", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")), "near-rare")
@@ -160,6 +165,15 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from the class of each text to its doc_id, for documents whose rows differ in their sets."""
+    live = signed.filter("doc_id is not null")
+    sets = F.xxhash64(F.coalesce("set_key", F.lit(b"")))
+    several = live.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).filter("lo < hi").select("doc_id")
+    of = live.filter("n_shingles > 0").select("doc_id", "set_key").join(several, "doc_id", "left_semi").distinct()
+    return of.join(classes.select("set_key", "node"), "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -199,8 +213,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     star = materialise(star, "near-star")
     wanted = members.select("node").distinct()
     sets = materialise(
-        docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_collect_sets(size), _SETS), "near-sets")
-    links = materialise(_confirmed(star, sets, percent), "near-links")
+        docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_collect_sets(size), _SETS)
+        .filter(F.size("shingles") > 0).dropDuplicates(["node", "own"]), "near-sets")
+    same = materialise(_shared_ids(signed, classes), "near-same")
+    links = materialise(_confirmed(star, sets, percent).union(same), "near-links")
     at = connected(links)
 
     labelled = members.join(at, "node", "left").select(
@@ -208,8 +224,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     mixed = materialise(
         labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi"),
         "near-mixed")
-    unsettled = materialise(labelled.join(mixed.select("bucket"), "bucket").select("node", "n", "component").distinct(),
-                            "near-open")
+    unsettled = materialise(labelled.join(mixed.select("bucket"), "bucket").select("node", "component").distinct(), "near-open")
     rest = _rare_pairs(unsettled, sets, percent)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _confirmed(rest.join(done, ["a", "b"], "left_anti"), sets, percent)
@@ -217,7 +232,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 
     by_class = classes.join(at, "node", "left").select(
         F.col("set_key").alias("_key"), F.coalesce("component", "node").alias("component_id"))
-    found = signed.join(by_class, (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
+    # a row without words goes with the other rows of its document
+    wordless = F.concat(F.lit("document without words "), F.col("doc_id").cast("string")).cast("binary")
+    by_id = same.select(F.col("b").alias("node")).distinct().join(at, "node").select(
+        F.concat(F.lit("document without words "), F.col("node").cast("string")).cast("binary").alias("_key"),
+        F.col("component").alias("component_id"))
+    found = signed.join(by_class.union(by_id), (F.coalesce("set_key", wordless) == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -92,6 +92,39 @@ def test_families(spark):
     assert found(df, 2) == brute(rows, 2)
 
 
+def test_repeated_rows_keep_links(spark):
+    """A row that stands twice, or an id with several texts, must not shorten what is compared of a set."""
+    pad = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = []
+    for k in range(30):
+        core, at = pad(f"c{k}x", 101), 10 * k
+        # a chain of three: the outer ones agree with the middle one only
+        for i, cut in enumerate((0, 9, 18)):
+            rows += [(at + i, " ".join(core[cut:] + pad(f"t{k}y{i}z", cut)))] * 2
+        rows += [(1000 + at, " ".join(core[5:] + pad(f"o{k}z", 5))), (1000 + at, " ".join(pad(f"q{k}z", 40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(df, 2) == brute(rows, 2)
+
+
+def test_rare_pairs_of_repeated_rows(spark):
+    """Sets of 100 that agree in 89, first common element the twelfth rarest, no link from the star round."""
+    sets = [(1, list(range(11)) + list(range(100, 189))), (2, list(range(20, 31)) + list(range(100, 189)))]
+    docs = [(d, " ".join(f"w{i}" for i in s)) for d, s in sets] * 2
+    frame = spark.createDataFrame(docs, "node long, text string")
+    held = frame.mapInArrow(near._collect_sets(1), near._SETS).dropDuplicates(["node", "own"])
+    nodes = spark.createDataFrame([(1, 1), (2, 2)], "node long, component long")
+    assert [tuple(r) for r in near._rare_pairs(nodes, held, 80).collect()] == [(1, 2)]
+
+
+def test_one_id_with_several_texts(spark):
+    """Its texts are one document, also when another id has the class or a row has no words."""
+    rows = [(3, "p q"), (8, "p q"), (8, "r s"), (9, "r s"), (8, None), (20, "u v"), (20, ""), (21, "u w"), (21, ""), (5, None)]
+    long = [f"m{i}" for i in range(40)]
+    rows += [(30, " ".join(long)), (30, ""), (31, " ".join(long[:34] + ["x", "y", "z", "q", "r", "s"])), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, 2) == brute(rows, 2)
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "One"), (6, "one two"), (7, "ONE  two"), (7, "ONE  two"),
