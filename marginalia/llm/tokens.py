@@ -68,13 +68,19 @@ class Encoder:
 
     Such a tokenizer never joins across a space before a word, so texts are cut there and each different
     piece is encoded once. What the pieces give is exactly what the whole text gives.
+
+    With ``special_as_text`` names of special tokens are text like any other; else a text that holds such a
+    name is encoded whole, as the library does by default.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        names = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self.cache = cache
         self.known: dict[str, bytes] = {}
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
@@ -99,6 +105,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
+        named = [i for i, text in enumerate(texts) if self.special and self.special.search(text)]
+        if not named:
+            return self._encode_pieces(texts)
+        whole = [self.whole.encode(texts[i], add_special_tokens=False).ids for i in named]
+        found = dict(zip(named, (np.array(ids, dtype="<u4") for ids in whole)))
+        rest = iter(self._encode_pieces([text for i, text in enumerate(texts) if i not in found]))
+        return [found[i] if i in found else next(rest) for i in range(len(texts))]
+
+    def _encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
         cut = []
         for text in texts:
             if _LONG_BLANKS.search(text):
@@ -125,7 +140,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, special_as_text=False)
     return _encoders[path]
 
 
@@ -178,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0,
 
     ``end_id`` follows each document. Null and empty texts have only that id. Documents without doc_id come
     first; rows that share a doc_id stand in the order of a hash of their texts. An empty table gives an empty store.
-    Other columns are ignored. A block holds whole documents, so a very long one is a block by itself.
+    A special token's name in a text gives that token's id. Other columns are ignored. A block holds whole documents, so a very long one is a block by itself.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession

@@ -79,6 +79,18 @@ def test_odd_rows(spark, plain):
     assert _got(tokens.encoded(docs.limit(0), tokenizer=PATH)) == []
 
 
+def test_store_has_the_library_s_ids_of_special_names(spark):
+    made = Tokenizer.from_file(PATH)
+    default = lambda text: made.encode(text or "", add_special_tokens=False).ids
+    assert default("end <|endoftext|> of") == [437, 220, 50256, 286]
+    rng = random.Random(6)
+    pieces = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "end", " of", "\n", "é"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))) for i in range(300)]
+    rows += [(900, "end <|endoftext|> of"), (901, "a  <|endoftext|>  b"), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _got(tokens.encoded(docs, tokenizer=PATH)) == _want(rows, default)
+
+
 def test_random_access(spark, plain, tmp_path):
     rows = [(i, f"document number {i} " * (i % 7)) for i in range(200)]
     path = str(tmp_path / "store")
