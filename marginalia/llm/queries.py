@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, exact, langid, lines, mixing, near, pii, quality, tokens, urls
+from marginalia.llm import codes, decontam, exact, langid, lines, mixing, near, pii, quality, tokens, urls
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -95,6 +95,11 @@ def op10_character_ratio(spark: SparkSession, base: str) -> DataFrame:
     return urls.url_verdicts(_table(spark, base, "pages"), RULES)
 
 
+def op11_vector_codes(spark: SparkSession, base: str) -> DataFrame:
+    """The code of every vector: 16 parts, 64 entries a codebook, two rounds."""
+    return codes.code_table(_table(spark, base, "embeddings"))
+
+
 QUERIES = {
     "op1_extendible_hash": op1_extendible_hash,
     "op2_line_chunks": op2_line_chunks,
@@ -106,9 +111,11 @@ QUERIES = {
     "op8_word_backoff": op8_word_backoff,
     "op9_boosted_spans": op9_boosted_spans,
     "op10_character_ratio": op10_character_ratio,
+    "op11_vector_codes": op11_vector_codes,
 }
 ORACLES = {
     "op1_extendible_hash": exact.ORACLE,
     "op2_line_chunks": lines.ORACLE,
     "op7_fair_queue": mixing.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
 }

@@ -15,4 +15,5 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_runs(spark, name):
     found = queries.QUERIES[name](spark, DATA)
-    assert found.count() == spark.read.parquet(f"{DATA}/{'pages' if name.startswith('op10') else 'documents'}.parquet").count()
+    table = {"op10_character_ratio": "pages", "op11_vector_codes": "embeddings"}.get(name, "documents")
+    assert found.count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
