@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import codes, decontam, exact, langid, lines, mixing, near, pii, quality, tokens, urls
+from marginalia.llm import align, codes, decontam, exact, langid, lines, mixing, near, pii, quality, tokens, urls
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -100,6 +100,15 @@ def op11_vector_codes(spark: SparkSession, base: str) -> DataFrame:
     return codes.code_table(_table(spark, base, "embeddings"))
 
 
+def op13_identity_map(spark: SparkSession, base: str) -> DataFrame:
+    """How the tokens of two tokenizers meet in every document, and how common its links are in all of them."""
+    import public_tokenizers
+
+    return align.aligned_documents(
+        _table(spark, base, "documents"), byte_level=public_tokenizers.path("byte_bpe_50k.json"),
+        piecewise=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_extendible_hash": op1_extendible_hash,
     "op2_line_chunks": op2_line_chunks,
@@ -112,6 +121,7 @@ QUERIES = {
     "op9_boosted_spans": op9_boosted_spans,
     "op10_character_ratio": op10_character_ratio,
     "op11_vector_codes": op11_vector_codes,
+    "op13_identity_map": op13_identity_map,
 }
 ORACLES = {
     "op1_extendible_hash": exact.ORACLE,
