@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import align, codes, decontam, exact, langid, lines, mixing, near, pii, quality, tokens, urls
+from marginalia.llm import align, codes, decontam, exact, langid, lines, mixing, near, parity, pii, quality, tokens, urls
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op11_vector_codes(spark: SparkSession, base: str) -> DataFrame:
     return codes.code_table(_table(spark, base, "embeddings"))
 
 
+def op12_parity_sketch(spark: SparkSession, base: str) -> DataFrame:
+    """Groups of documents linked by five-word shingles at similarity 0.8."""
+    return parity.similar_documents(_table(spark, base, "documents"), size=5, percent=80)
+
+
 def op13_identity_map(spark: SparkSession, base: str) -> DataFrame:
     """How the tokens of two tokenizers meet in every document, and how common its links are in all of them."""
     import public_tokenizers
@@ -121,6 +126,7 @@ QUERIES = {
     "op9_boosted_spans": op9_boosted_spans,
     "op10_character_ratio": op10_character_ratio,
     "op11_vector_codes": op11_vector_codes,
+    "op12_parity_sketch": op12_parity_sketch,
     "op13_identity_map": op13_identity_map,
 }
 ORACLES = {
@@ -128,4 +134,5 @@ ORACLES = {
     "op2_line_chunks": lines.ORACLE,
     "op7_fair_queue": mixing.ORACLE,
     "op11_vector_codes": codes.ORACLE,
+    "op12_parity_sketch": parity.ORACLE,
 }
