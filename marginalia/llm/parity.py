@@ -2,7 +2,7 @@
 
 Every shingle toggles one bit of a wide sketch, so two sketches differ in no more bits than the sets differ in
 elements. A sketch is cut into segments; sets of similar size (a band) have the same segments. Sets that differ in
-at most d elements differ in at most d segments: of the d + 1 rarest segments that are not empty, they share one.
+at most d elements differ in at most d segments: of the d + 1 rarest segments that are not empty they share one.
 Only those are joined. A short sketch of all shingles, folded, leaves out pairs that differ in too many bits, and
 every link is confirmed on whole sets.
 """
@@ -24,14 +24,15 @@ from marginalia.session import materialise
 
 #: Sets below this size are one band, whose segments hold one shingle each; every further band doubles the size.
 FIRST_BAND, FINE = 64, 1 << 16
-#: Bits of the folded sketch.
-FOLDED = 1024
-#: Shingles counted together, how often one must stand among them to be reported, and how many are told to all tasks.
+#: The least bits of the folded sketch.
+FOLDED = 512
+#: Shingles counted together, how often one must stand among so many to be reported (twice at least), and how many are
+#: told to all tasks.
 COUNTED, SEVERAL, COMMON = 1 << 20, 4, 1 << 16
-#: Members of different groups in a bucket beyond which two shared segments are asked for.
-CROWD = 64
 #: Links of one document beyond which they are dealt to several tasks.
 HUB = 512
+#: Rows of a table of ids up to which it is sent to all tasks (some 40 bytes each); beyond, both sides are shuffled.
+SENT = 500_000
 
 _DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
@@ -79,12 +80,17 @@ def sketch_words(shingles: np.ndarray, level: int, percent: int) -> tuple[np.nda
     return W.mix(parity + place[starts] * W.BASE + W.mix(np.uint64([level + 1]))).view(np.int64), starts
 
 
-def folded(shingles: np.ndarray) -> np.ndarray:
-    """The parity of all shingles on ``FOLDED`` bits, as 64-bit words."""
-    odd = np.bincount((W.mix(shingles) & np.uint64(FOLDED - 1)).astype(np.int64), minlength=FOLDED) & 1
+def folded(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of all shingles on a power of two of bits, as 64-bit words; the halves of it give that on half the bits."""
+    odd = np.bincount((W.mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded_bits(n: int) -> int:
+    """Enough to tell sets that differ in a quarter of their elements from sets that differ in half of them."""
+    return max(FOLDED, 1 << (n - 1).bit_length())
+
+
 def rare_first(shingles: np.ndarray, level: int, percent: int, common: np.ndarray, seen: np.ndarray, count: int) -> np.ndarray:
     """Keys of the ``count`` rarest segments, by how often the least common of their shingles stands in the corpus.
 
@@ -116,7 +122,8 @@ def _counted(size: int):
 
     def reported(held: list[np.ndarray]) -> pa.RecordBatch:
         values, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-        values, times = values[times >= SEVERAL].view(np.int64), times[times >= SEVERAL]
+        often = times >= max(2, SEVERAL * int(times.sum()) / COUNTED)
+        values, times = values[often].view(np.int64), times[often]
         none = [pa.nulls(len(values), k) for k in (pa.int64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([*none, pa.array(values), pa.array(times, pa.int64())], names=_DOCS.names)
 
@@ -147,25 +154,25 @@ def _sketched(size: int, percent: int, common: list[int], seen: list[int]):
         order = np.array(common, np.uint64), np.array(seen, np.int64)
         nothing = np.zeros(0, np.int64)
         for batch in batches:
-            ids, sizes, keys, own, below, short = [], [], [], [], [], []
+            ids, sizes, keys, own, below, sketch = [], [], [], [], [], []
             for doc_id, found in zip(batch.column(0).cast(pa.int64()).to_pylist(), _sets(batch, size)):
                 n = len(found)
                 if n == 0 or doc_id is None:
                     continue
-                count = reach(n, percent) + 2
+                count = reach(n, percent) + 1
                 level = band(n)
                 # smaller sets of the band below look for this one among their own segments
                 low = level > 0 and n * percent <= 100 * ((FIRST_BAND << (level - 1)) - 1)
-                alone = count == 2  # nothing but an equal set agrees with so small a one
+                alone = count == 1  # nothing but an equal set agrees with so small a one
                 ids.append(doc_id)
                 sizes.append(n)
                 keys.append(_key(found))
                 own.append(nothing if alone else rare_first(found, level, percent, *order, count))
                 below.append(rare_first(found, level - 1, percent, *order, count) if low else nothing)
-                short.append(folded(found))
+                sketch.append(folded(found, folded_bits(n)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), near._lists(own),
-                 near._lists(below), near._lists(short)], names=_SKETCHED.names)
+                 near._lists(below), near._lists(sketch)], names=_SKETCHED.names)
 
     return sketched
 
@@ -174,14 +181,29 @@ def _apart(n: Column, m: Column, percent: int) -> Column:
     return F.floor((n + m) * (100 - percent) / (100 + percent))
 
 
+def _halved(sketch: Column, other: Column) -> Column:
+    """A sketch of twice the other's bits on as many bits as that has."""
+    half = F.size(other)
+    both = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > half, both).otherwise(sketch)
+
+
+def _bits_fit(sketch: Column, other: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether two sketches differ in no more bits than sets of n and m elements may differ in elements."""
+    short = [F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(FOLDED // 64)]
+    words = F.zip_with(_halved(sketch, other), _halved(other, sketch), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.when(F.greatest(F.size(sketch), F.size(other)) == FOLDED // 64, sum(short[1:], short[0])).otherwise(
+        F.aggregate(words, F.lit(0), lambda s, x: s + x))
+    return bits <= _apart(n, m, percent)
+
+
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) whose folded sketches do not differ in too many bits."""
     pairs = materialise(pairs.distinct(), "parity-candidates")
     of = lambda side: classes.select(
         F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     both = dealt_join(dealt_join(pairs, of("b"), "b"), of("a"), "a")
-    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.filter(bits <= _apart(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return both.filter(_bits_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def dealt_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
@@ -195,8 +217,27 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     return left.join(right, [key, "_deal"]).drop("_deal")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets agree to at least ``percent``."""
+def _whole_sets(size: int):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, rows = [], []
+            for node, key, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch, size)):
+                if _key(found) == key:  # an id may have other texts besides
+                    nodes.append(node)
+                    rows.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), near._lists(rows)], names=["node", "shingles"])
+
+    return whole
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets agree to at least ``percent``; only their texts are read again."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(nodes.join(classes.select("node", "set_key"), "node"), "parity-wanted")
+    sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    texts = docs.join(sent, F.col("doc_id") == F.col("node")).select("node", "text", "set_key")
+    sets = materialise(
+        texts.mapInArrow(_whole_sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "parity-sets")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -208,21 +249,15 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _across(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that belong to different components and fit in size."""
-    other = members.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
-    return (
-        members.join(other, keys).filter("node < node_b and component <> component_b")
-        .filter(_fits(F.col("n"), F.col("n_b"), percent)).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    )
-
-
-def _mixed(members: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Members of the buckets that hold more than one component, with the size of the bucket."""
-    mixed = materialise(
-        members.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd"))
-        .filter("lo <> hi").select(*keys, "crowd"), name)
-    return members.join(mixed, keys)
+def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket from different components whose sizes and sketches fit; the join emits no others."""
+    left = members.join(classes.select("node", "sketch"), "node")
+    right = left.select(*[F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "n", "component", "sketch")])
+    apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
+    fits = _fits(F.col("n"), F.col("n_b"), percent)
+    near_by = _bits_fit(F.col("sketch"), F.col("sketch_b"), F.col("n"), F.col("n_b"), percent)
+    return left.join(right, [F.col("bucket") == F.col("bucket_b"), apart & fits & near_by]).select(
+        F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, *, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,38 +281,28 @@ def similar_classes(docs: DataFrame, *, size: int, percent: int) -> tuple[DataFr
         sketched.groupBy("set_key").agg(
             F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "own", "below", "sketch")]), "parity-classes")
 
-    first = F.lit(1) + F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
-    keyed = classes.select(
-        "node", "n", F.explode(F.concat(F.slice("own", F.lit(1), first), F.slice("below", F.lit(1), first))).alias("bucket"))
+    keyed = classes.select("node", "n", F.explode(F.concat("own", "below")).alias("bucket"))
     shared = materialise(keyed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "parity-buckets")
     members = materialise(keyed.join(shared, "bucket"), "parity-members")
     company = members.groupBy("node").agg(F.sum("m").alias("company"))
-    members = dealt_join(members, company, "node")
+    members = members.join(company, "node")
     centre = members.groupBy("bucket").agg(F.max(F.struct("company", "n", "node")).alias("c"))
     star = (
         members.join(centre, "bucket").filter("node <> c.node").filter(_fits(F.col("n"), F.col("c.n"), percent))
         .select(F.col("c.node").alias("a"), F.col("node").alias("b"))
     )
     star = materialise(_close(star, classes, percent), "parity-star")
-    wanted = members.select("node").distinct()
-    sets = materialise(
-        docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(near._collect_sets(size), near._SETS)
-        .join(classes.select("node", "n"), "node").filter(F.size("shingles") == F.col("n"))
-        .dropDuplicates(["node"]).select("node", "shingles"), "parity-sets")
-    links = materialise(_confirmed(star, sets, percent), "parity-links")
+    links = materialise(_confirmed(star, docs, classes, size, percent), "parity-links")
 
     at = near.connected(links)
     labelled = members.join(at, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    rest = materialise(_mixed(labelled, ["bucket"], "parity-mixed"), "parity-open")
-    few = _across(rest.filter(F.col("crowd") <= CROWD), ["bucket"], percent)
-    crowded = rest.filter(F.col("crowd") > CROWD).drop("crowd").join(classes.select("node", "own", "below"), "node")
-    second = F.explode(F.array_remove(F.when(F.array_contains("own", F.col("bucket")), F.col("own")).otherwise(F.col("below")), F.col("bucket")))
-    twice = crowded.select("bucket", "node", "n", "component", second.alias("other")).select(
-        F.least("bucket", "other").alias("bucket"), F.greatest("bucket", "other").alias("other"), "node", "n", "component").distinct()
-    many = _across(_mixed(twice, ["bucket", "other"], "parity-crowds").drop("crowd"), ["bucket", "other"], percent)
+    mixed = materialise(
+        labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        .select("bucket"), "parity-mixed")
+    rest = materialise(labelled.join(mixed, "bucket"), "parity-open")
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialise(_close(few.union(many), classes, percent).join(done, ["a", "b"], "left_anti"), "parity-pairs")
-    more = _confirmed(pairs, sets, percent)
+    pairs = materialise(_across(rest, classes, percent).join(done, ["a", "b"], "left_anti"), "parity-pairs")
+    more = _confirmed(pairs, docs, classes, size, percent)
     return known, classes.select("set_key", "node", "n"), materialise(links.union(more), "parity-links")
 
 
@@ -294,7 +319,7 @@ def similar_documents(docs: DataFrame, *, size: int = 5, percent: int = 80) -> D
 
     Equal sets are one class, so copies cost one row each. In a bucket of sets that share a segment, all are first
     compared with the one that has most company; only members of different components are then compared with each
-    other, and in a crowded bucket only if they share a second of their rarest segments, as similar sets do. A set
+    other, by their sketches inside the join, which hands on no pair whose sketches differ too much. A set
     whose rarest segments are fewer than the theorem asks for, because its shingles fell into too few of them, has a
     chance below 1e-14 for any text of over 64 shingles, and none to speak of below.
     """
