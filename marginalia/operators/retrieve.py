@@ -139,38 +139,6 @@ def with_payload(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> Data
     return hits.join(chunks.select("chunk_id", *columns), "chunk_id")
 
 
-def build_cells(vectors: DataFrame, cells: int, *, seed: int = 7, iterations: int = 10):
-    """Cluster the vectors: returns them with their ``cell``, and the cell centres as a matrix."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = vectors.withColumn("_point", array_to_vector(F.col("vector").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="_point", predictionCol="cell").fit(points)
-    return model.transform(points).drop("_point"), np.array(model.clusterCenters())
-
-
-def approximate_chunks(
-    queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int = TOP_K, probes: int = 8
-) -> DataFrame:
-    """Approximate top-k: only the vectors in each question's nearest cells are scored, exactly.
-
-    The centres (a few thousand vectors at most) are the only thing that decides which cells to open.
-    """
-    unit_centres = _unit(centres)
-
-    def open_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                near = np.argsort(-(_unit(np.stack(batch["vector"].to_numpy())) @ unit_centres.T), axis=1)[:, :probes]
-                yield batch.assign(cells=[list(map(int, row)) for row in near])
-
-    schema = queries.select("query_id", "tenant_id", "vector").schema.add("cells", T.ArrayType(T.IntegerType()))
-    opened = queries.select("query_id", "tenant_id", "vector").mapInPandas(open_cells, schema)
-    key = lambda cell: F.concat_ws("/", "tenant_id", F.col(cell).cast("string"))
-    asked = opened.withColumn("cell", F.explode("cells")).withColumn("place", key("cell"))
-    return nearest_chunks(asked, celled.withColumn("place", key("cell")), k, match="place")
-
-
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact hits the approximate search found, per question."""
     found = approximate.select("query_id", "chunk_id").distinct().withColumn("_found", F.lit(1))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.vectors import hash_embedding
 from marginalia.operators import citations as A
 from marginalia.operators import context as P
+from marginalia.operators import graph as G
 from marginalia.operators import lexical as L
 from marginalia.operators import retrieve as R
 from tests.conftest import at
@@ -51,14 +52,60 @@ def test_no_questions_give_no_hits(corpus):
     assert R.nearest_chunks(queries.filter("query_id < 0"), vectors, 3).count() == 0
 
 
-def test_approximate_search_finds_most(spark, corpus):
+def _hits(df):
+    return sorted((r.query_id, r.kb_id, r.chunk_id, r["rank"], r.score) for r in df.collect())
+
+
+def test_graph_search(spark, corpus, monkeypatch):
+    """All parts opened wholly are the exact search; narrower ones find most; the width is found by measuring."""
     queries, vectors, _, _ = corpus
-    celled, centres = R.build_cells(vectors, 8)
-    near = R.approximate_chunks(queries, celled, centres, 5, probes=4)
     exact = R.nearest_chunks(queries, vectors, 5)
-    assert R.recall(exact, near).agg(F.avg("recall")).first()[0] > 0.6
-    everything = R.approximate_chunks(queries, celled, centres, 5, probes=8)
-    assert R.recall(exact, everything).agg(F.min("recall")).first()[0] == 1.0
+    graph = G.build_graph(vectors, part=40)
+    assert graph.agg(F.max("nodes")).first()[0] < 80 and graph.count() > 6
+    assert _hits(G.graph_chunks(queries, graph, 5, 500)) == _hits(exact)
+    narrow = R.recall(exact, G.graph_chunks(queries, G.build_graph(vectors), 5, 12)).agg(F.avg("recall")).first()[0]
+    assert narrow > 0.8
+    ef, measured = G.width_for_recall(queries, vectors, graph, 5, target=1.0, sample=10)
+    assert measured == 1.0 and ef <= 128
+    monkeypatch.setattr(G, "BLOCK", 7)
+    assert _hits(G.graph_chunks(queries, graph, 5, 500)) == _hits(exact)
+    clash = queries.selectExpr("*", "1 as part", "2 as block", "'x' as kb_id")
+    assert _hits(G.graph_chunks(clash, graph, 5, 500)) == _hits(exact)
+    assert G.graph_chunks(queries.limit(0), graph, 5, 10).count() == 0
+    assert G.approximate_chunks(queries, vectors.limit(0), 5).count() == 0
+    keyless = vectors.withColumn("tenant_id", F.lit(None).cast("string"))
+    assert G.build_graph(keyless).count() == 0
+
+
+def test_questions_near_stored_vectors_are_found_by_a_few_steps():
+    """Clustered vectors: a beam far narrower than the graph finds nearly all, and meets few of the vectors."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    stored = centres[rng.integers(0, 60, 4000)] + 0.4 * rng.normal(size=(4000, 24))
+    unit = stored / np.linalg.norm(stored, axis=1, keepdims=True)
+    links = G.neighbour_links(unit)
+    assert links.shape == (4000, 32) and (links[:, 0] >= 0).all() and links.max() < 4000
+    assert all(i not in row for i, row in enumerate(links))
+    asked = stored[::40] + 0.2 * rng.normal(size=(100, 24))
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    place, score = G.beam_search(asked, unit, links, np.arange(0, 4000, 16), 64)
+    near = asked @ unit.T
+    want = np.argsort(-near, axis=1)[:, :10]
+    found = [len(set(w) & set(p)) for w, p in zip(want, place)]
+    assert np.mean(found) >= 9.5
+    assert np.allclose(np.take_along_axis(near, place, axis=1), score)
+
+
+def test_links_lead_in_different_directions():
+    """Of two clusters of near copies, a vector links to its own and, by the choice of directions, to the other."""
+    rng = np.random.default_rng(8)
+    one, two = np.array([1.0, 0, 0]), np.array([0, 1.0, 0])
+    stored = np.concatenate([one + 0.01 * rng.normal(size=(30, 3)), two + 0.01 * rng.normal(size=(30, 3))])
+    unit = stored / np.linalg.norm(stored, axis=1, keepdims=True)
+    links = G.neighbour_links(unit, m=4, candidates=59)
+    across = [(row[row >= 0] >= 30).any() for row in links[:30]]
+    assert any(across)
+    assert (G.neighbour_links(unit[:1]) == -1).all()
 
 
 def test_exact_text_ranks_first(spark):
