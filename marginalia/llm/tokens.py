@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.llm.pieces import worker_state
 from marginalia.session import scratch_path
 
 #: Ids after which a block closes; the next document opens a new one.
 BLOCK_IDS = 1 << 18
-#: Pieces of text whose ids a worker remembers, some 200 bytes each.
+#: Pieces of text whose ids a worker remembers over all its tasks, some 200 bytes each.
 CACHE = 500_000
 
 _BLOCK = T.StructType([
@@ -83,6 +84,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self.cache = cache
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, at in self.tokenizer.get_vocab().items():
             self.bytes_of[at] = len(token)  # one character of a token stands for one byte
@@ -121,27 +123,24 @@ class Encoder:
             else:
                 words = text.split(" ")
                 cut.append([words[0], *map(" ".__add__, words[1:])])
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        wanted = set(chain.from_iterable(cut))
+        new = wanted.difference(self.known)
+        if new and len(self.known) > self.cache // 2:  # what was not met since the last turn is forgotten
+            self.older, self.known = self.known, {}
+            new = wanted
         known = self.known
-        if new:
-            fresh = self._learn(new)
-            if len(known) + len(fresh) <= self.cache:
-                known.update(fresh)
-            else:
-                room = self.cache - len(known)
-                known.update(zip(new[:room], map(fresh.__getitem__, new[:room])))
-                lookup = {**{p: known[p] for p in set(chain.from_iterable(cut)).difference(fresh)}, **fresh}
-                known = lookup
+        back = new.intersection(self.older)
+        known.update(zip(back, map(self.older.__getitem__, back)))
+        if len(back) < len(new):
+            known.update(self._learn(list(new.difference(back))))
         return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4") for pieces in cut]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, special_as_text=False)
-    return _encoders[path]
+    state = worker_state()
+    if ("encoder", path) not in state:
+        state["encoder", path] = Encoder(path, special_as_text=False)
+    return state["encoder", path]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:

@@ -24,7 +24,6 @@ def brute(rows, items):
     con.execute("create table documents as select * from documents")
     turns = dict(con.execute(f"select doc_id, turns from ({mixing.ORACLE})").fetchall())
     made = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
-    made.encode_special_tokens = True
     return _want([r[:2] for r in rows for _ in range(turns[r[0]])], lambda t: made.encode(t or "", add_special_tokens=False).ids)
 
 
