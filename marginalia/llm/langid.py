@@ -7,7 +7,6 @@ character n-grams of which at least one was seen stand in, with the mean of thei
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm import words as W
+from marginalia.llm.pieces import worker_state
 from marginalia.session import materialise
 
 #: Labelled documents a language is learned from, and the longest text among them.
@@ -40,16 +40,18 @@ class Model(NamedTuple):
     tables: dict[int, tuple[np.ndarray, np.ndarray]]  # 0 for words, n for n-grams: sorted hashes, log frequencies
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """The lower-case letter of each code point, 0 for what is no letter."""
+    """The lower-case letter of each code point, 0 for what is no letter; made once in a worker."""
+    state = worker_state()
+    if "letters" in state:
+        return state["letters"]
     table = np.zeros(0x110000, dtype=np.uint32)
     for point in range(0x110000):
         letter = chr(point)
         if letter.isalpha():
             low = letter.lower()
             table[point] = ord(low) if len(low) == 1 else point
-    return table
+    return state.setdefault("letters", table)
 
 
 class _Flat(NamedTuple):
@@ -201,7 +203,7 @@ def _word_scores(model: Model, flat: _Flat) -> tuple[np.ndarray, np.ndarray]:
 
 def _identify(model, place: int):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = model.value
+        found = Model(*model.value)
         for batch in batches:
             texts = batch.column(place).to_pylist()
             sums = np.tile(found.prior, (len(texts), 1))
@@ -245,5 +247,5 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
         rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string"))
         rows = rows.toDF(*[f"c{i}" for i in range(len(keep))], "_text")
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*fields, *_FOUND])])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple needs no class where it is read
     return rows.mapInArrow(_identify(shared, place), schema).toDF(*keep, *[f.name for f in _FOUND])

@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
 
 def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             margins = _margins(features(batch.column(1)), model.weights, model.squares, model.bias)
             scores = 1 / (1 + np.exp(-np.clip(model.slope * margins + model.offset, -500, 500)))
@@ -199,6 +199,6 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts count. A null text is scored like an empty one, which has no indicators; repeated rows each
     give a row; other columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple needs no class where it is read
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     return rows.mapInArrow(_score(shared), "doc_id long, score double")
