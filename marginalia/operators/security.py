@@ -37,10 +37,10 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     risky = cut.groupBy(*key, "piece").agg(failures.alias("_f")).filter(F.col("_f") >= MAX_ATTEMPTS)
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*key, "piece")]
     kept = cut.join(risky.select(*[F.col(k).alias(f"_k_{k}") for k in (*key, "piece")]), same, "left_semi")
-    return replay(kept.drop("_prev"), [*key, "piece"], ["ts", "event_id"], _Logins, LOCKS)
+    return replay(kept.drop("_prev"), [*key, "piece"], ["ts", "event_id"], Logins, LOCKS)
 
 
-class _Logins:
+class Logins:
     """State of one account: failures counted, until when they are remembered, the running lock."""
 
     def __init__(self, key: tuple):
