@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.entries import retention_months
@@ -10,13 +13,14 @@ from marginalia.functions.text import mask
 from marginalia.operators import audit as U
 from marginalia.operators import identity as I
 from marginalia.operators import notify as N
+from marginalia.operators import partitions as P
 from marginalia.operators import quota as Q
 from marginalia.operators import security as S
 from marginalia.operators.paging import page
 from marginalia.plans import fixtures as fx
 from marginalia.plans.fixtures import NOW, PLAN, minutes, ntz
 from marginalia.plans.text import tokens_sql
-from marginalia.session import prepare, scratch_path
+from marginalia.session import exists, prepare, scratch_path
 from marginalia.sources import tables as T
 from marginalia.sources.objects import foreign_keys
 
@@ -344,6 +348,23 @@ def rtn_03_expired_partitions(spark, d):
     return I.expired_partitions(parts, policy, ntz(LINE_NOW))
 
 
+def rtn_03_detached_rows(spark, d):
+    """Line items written by table and month; what is left in the table and what was detached, by partition."""
+    root, detached = scratch_path(prepare(spark), "lines"), scratch_path(spark, "detached")
+    flag, month = F.concat(F.lit("line_"), "l_returnflag").alias("table_name"), F.trunc("l_shipdate", "MM").alias("start")
+    lines = T.table(spark, d, "lineitem").select(flag, month, "l_orderkey", F.col("l_quantity").cast("double").alias("quantity"))
+    named = lines.withColumn("partition", I.month_name(F.col("table_name"), F.col("start")))
+    spread = F.pmod(F.xxhash64("l_orderkey"), F.lit(4))
+    named.repartition("table_name", "partition", spread).write.partitionBy("table_name", "partition").parquet(root)
+    P.apply_expired(spark, rtn_03_expired_partitions(spark, d), root, detached)
+    schema = "quantity double, table_name string, partition string"
+    # without anything detached there is no second folder
+    both = [spark.read.schema(schema).parquet(path).withColumn("place", F.lit(place))
+            for path, place in ((root, "table"), (detached, "detached")) if exists(spark, path)]
+    rows = reduce(DataFrame.unionByName, both)
+    return rows.groupBy("place", "table_name", "partition").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+
 QUERIES = {f.__name__: f for f in (
     qta_01_limits, qta_02_periods, qta_03_stock, qta_04_status, qta_05_reservations, qta_06_reserve_estimate, qta_07_reconcile,
     qta_08_threshold_alerts, qta_09_concurrency, ntf_01_collapse_ready, ntf_01_collapse_ten_minutes, ntf_02_recipients,
@@ -352,6 +373,7 @@ QUERIES = {f.__name__: f for f in (
     msk_01_masked_text, msk_02_masked_record, src_03_access_log, log_01_latency_report, log_02_last_seconds, tn_01_tenant_view,
     tn_02_live_documents, tn_03_shared_rows, tn_04_isolated_results, tn_04_error_rows, idn_01_effective_permissions,
     idn_02_permission_drift, rtn_01_missing_partitions, rtn_02_retention, rtn_03_expired_partitions,
+    rtn_03_detached_rows,
 )}
 
 _PERMISSIONS = ", ".join(f"('{r}', '{c}')" for r, codes in I.ROLE_PERMISSIONS.items() for c in codes)
@@ -502,4 +524,9 @@ where months > 0 qualify row_number() over (partition by p_partkey, table_name o
     "rtn_03_expired_partitions": """
 select table_name, table_name || '_' || strftime(start, '%Y_%m') as partition, (start + interval 1 month)::date as upper_bound, cutoff, 'detach' as action
 from lx_month join (values ('line_A', date '1998-09-01'), ('line_N', date '1994-03-01')) as c(table_name, cutoff) using (table_name) where start + interval 1 month <= cutoff""",
+    "rtn_03_detached_rows": """
+with l as (select 'line_' || l_returnflag as table_name, date_trunc('month', l_shipdate)::date as start, l_quantity::double as quantity from lineitem)
+select case when start + interval 1 month <= cutoff then 'detached' else 'table' end as place, table_name, table_name || '_' || strftime(start, '%Y_%m') as partition,
+  count(*) as n, sum(quantity) as quantity
+from l left join (values ('line_A', date '1998-09-01'), ('line_N', date '1994-03-01')) as c(table_name, cutoff) using (table_name) group by 1, 2, 3""",
 }

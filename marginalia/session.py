@@ -59,3 +59,8 @@ def hadoop_path(spark: SparkSession, path: str):
 def is_directory(spark: SparkSession, path: str) -> bool:
     store, root = hadoop_path(spark, path)
     return bool(store.getFileStatus(root).isDirectory())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, target = hadoop_path(spark, path)
+    return bool(store.exists(target))
