@@ -249,19 +249,43 @@ def rerank(candidates: DataFrame, make_scorer, *, threshold: float = 0.3, keep:
     ).filter(F.col("position") <= keep)
 
 
+def border(left: str, right: str) -> int:
+    """Length of the longest end of ``left`` that ``right`` begins with, in linear time.
+
+    The prefix function of ``right`` says where to go on after a mismatch, so no character of ``left`` is read twice.
+    """
+    longest = min(len(left), len(right))
+    left, right = left[len(left) - longest:], right[:longest]
+    if not longest or right[0] not in left:
+        return 0
+    fall, k = [0] * longest, 0
+    for i in range(1, longest):
+        while k and right[i] != right[k]:
+            k = fall[k - 1]
+        k += right[i] == right[k]
+        fall[i] = k
+    k = 0
+    for c in left:
+        while k and c != right[k]:
+            k = fall[k - 1]
+        k += c == right[k]
+    return k
+
+
+@F.pandas_udf(T.IntegerType())
+def _seam(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([border(a, b) if a and b else 0 for a, b in zip(left, right)], dtype="int32")
+
+
 def merge_adjacent(selected: DataFrame) -> DataFrame:
     """Neighbouring chunks of a document become one passage; text repeated at the seam is left out.
 
     ``selected``: query_id, doc_id, seq, content. A context holds at most 50 chunks per question.
     """
     order = W.partitionBy("query_id", "doc_id").orderBy("seq")
-    prev, cur = F.col("_prev"), F.col("content")
     joined = selected.withColumn("_gap", F.coalesce(F.col("seq") - F.lag("seq").over(order), F.lit(0)) != 1)
     joined = joined.withColumn("_prev", F.when(~F.col("_gap"), F.lag("content").over(order)))
-    shortest = F.least(F.length(prev), F.length(cur))
-    lengths = F.when(shortest > 0, F.sequence(shortest, F.lit(1), F.lit(-1)))
-    seam = F.coalesce(F.try_element_at(F.filter(lengths, lambda n: F.right(prev, n) == F.left(cur, n)), F.lit(1)), F.lit(0))
-    joined = joined.withColumn("_seam", seam)
+    joined = joined.withColumn("_seam", _seam("_prev", "content"))
     joined = joined.withColumn("_island", F.sum(F.col("_gap").cast("int")).over(order))
     part = F.struct("seq", F.expr("substr(content, _seam + 1)").alias("t"))
     passages = F.transform(F.array_sort(F.collect_list(part)), lambda s: s["t"])

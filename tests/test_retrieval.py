@@ -188,6 +188,27 @@ def test_adjacent_chunks_lose_the_repeated_seam(spark):
     assert got == {(7, 0): "alpha beta gamma", (7, 3): "delta", (8, 4): "delta more"}
 
 
+def test_border_is_the_longest_common_seam():
+    import random
+    import time
+
+    draw = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(draw.choice("ab𝄞") for _ in range(draw.randrange(12))) for _ in range(2))
+        assert R.border(a, b) == max(n for n in range(min(len(a), len(b)) + 1) if a[len(a) - n:] == b[:n])
+    start = time.perf_counter()
+    assert R.border("x" + "ab" * 50_000, "ab" * 50_000 + "c") == 100_000
+    assert R.border("a" * 100_000 + "c", "a" * 100_000 + "b") == 0
+    assert time.perf_counter() - start < 1
+
+
+def test_seams_of_odd_texts(spark):
+    rows = [(1, 7, 0, None), (1, 7, 1, "a"), (1, 7, 2, ""), (1, 7, 3, "b" * 100_000), (1, 7, 4, "b" * 100_000 + "c")]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, seq int, content string")
+    assert [r.passage for r in R.merge_adjacent(df).collect()] == ["a" + "b" * 100_000 + "c"]
+    assert R.merge_adjacent(df.limit(0)).count() == 0
+
+
 def test_prompt_in_force(spark):
     prompts = spark.createDataFrame([
         ("own", "a", "k", 1, None), ("sys", None, "k", 5, None), ("sys2", None, "j", 6, None), ("gone", "a", "j", 7, at(0)),
