@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,8 @@ MIN_CONFIDENCE = 0.5
 
 
 def grams(text: Column) -> Column:
-    """All overlapping character trigrams of the lower-cased text, from one pass over its characters."""
-    def windows(chars: Column) -> Column:
-        joined = F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))
-        return F.filter(joined, lambda gram: gram.isNotNull())
-
-    return let(F.split(F.lower(text), ""), windows)
+    """All overlapping character trigrams of the lower-cased text: each character is taken with a look at the next two."""
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,28 +30,26 @@ def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.sequence(F.lit(0), F.size(at) - 2),
             lambda k: F.struct(F.get(sorted_grams, F.get(at, k)).alias("gram"), (F.get(at, k + 1) - F.get(at, k)).alias("n"))))
 
-    found = let(F.array_sort(grams(F.col("text"))), lambda g: F.when(F.size(g) > 0, let(g, runs)))
+    found = let(F.sort_array(grams(F.col("text"))), lambda g: F.when(F.size(g) > 0, let(g, runs)))
     return rows.select(*keys, F.explode(found).alias("g")).select(*keys, "g.gram", "g.n")
 
 
 def train(samples: DataFrame) -> DataFrame:
-    """gram, scores (language -> log probability) from (lang, text).
+    """gram, scores (log probabilities, one a language), langs (the languages in that order) from (lang, text).
 
-    Every trigram of the samples is in the model. Add-one smoothing.
+    Every trigram of the samples is in the model. Add-one smoothing. Texts without a language teach nothing.
     """
     kept = materialise(
-        counted(samples, ["lang"]).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        counted(samples.filter(F.col("lang").isNotNull()), ["lang"]).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     common = kept.select("gram").distinct()
     totals = kept.groupBy("lang").agg(F.sum("n").alias("total"))
     have = kept.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("have"))
-    rows = have.withColumn("langs", totals.agg(F.collect_list(F.struct("lang", "total"))).scalar()).withColumn(
+    rows = have.withColumn("totals", totals.agg(F.sort_array(F.collect_list(F.struct("lang", "total")))).scalar()).withColumn(
         "v", common.agg(F.count("*")).scalar()
     )
-    scores = F.map_from_entries(F.transform(
-        "langs",
-        lambda s: F.struct(s["lang"], F.ln((F.coalesce(F.try_element_at("have", s["lang"]), F.lit(0)) + 1) / (s["total"] + F.col("v")))),
-    ))
-    return materialise(rows.select("gram", scores.alias("scores")), "language-model")
+    scores = F.transform(
+        "totals", lambda s: F.ln((F.coalesce(F.try_element_at("have", s["lang"]), F.lit(0)) + 1) / (s["total"] + F.col("v"))))
+    return materialise(rows.select("gram", scores.alias("scores"), F.col("totals.lang").alias("langs")), "language-model")
 
 
 def detect(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -61,17 +57,21 @@ def detect(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     Blank text is ``und``, kana means ``ja``, hangul means ``ko``; otherwise the best language of the
     model, or ``und`` if its normalised probability is below one half. A text sends each of its trigrams
-    once, with its count.
+    once, with its count; its scores are added up side by side, a column a language. Without any language
+    learned all other texts are ``und``.
     """
     rows = docs.select("doc_id", "text")
     script = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "und").when(F.col("text").rlike(KANA), "ja").when(F.col("text").rlike(HANGUL), "ko")
     marked = rows.withColumn("script", script)
+    known = model.select("langs").first()
+    if known is None:
+        return marked.select("doc_id", F.coalesce("script", F.lit("und")).alias("language"), F.lit(None).cast("double").alias("confidence"))
     asked = counted(marked.filter("script is null"), ["doc_id"])
-    scored = asked.join(model, "gram").select("doc_id", "n", F.explode("scores").alias("lang", "score")).withColumn(
-        "score", F.col("score") * F.col("n"))
-    sums = scored.groupBy("doc_id", "lang").agg(F.sum("score").alias("score"))
-    best = sums.groupBy("doc_id").agg(F.max(F.struct("score", "lang")).alias("b"), F.collect_list("score").alias("all"))
-    odds = F.aggregate("all", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("b.score")))
+    sums = asked.join(model.select("gram", "scores"), "gram").groupBy("doc_id").agg(*[
+        F.sum(F.get("scores", F.lit(i)) * F.col("n")).alias(f"_s{i}") for i in range(len(known.langs))])
+    each = F.array(*[F.struct(F.col(f"_s{i}").alias("score"), F.lit(lang).alias("lang")) for i, lang in enumerate(known.langs)])
+    best = sums.withColumn("b", F.array_max(each))
+    odds = reduce(Column.__add__, [F.exp(F.col(f"_s{i}") - F.col("b.score")) for i in range(len(known.langs))])
     guessed = best.select("doc_id", F.col("b.lang").alias("lang"), (1.0 / odds).alias("confidence"))
     joined = marked.select("doc_id", "script").join(guessed, "doc_id", "left")
     sure = F.when(F.col("confidence") >= MIN_CONFIDENCE, F.col("lang")).otherwise("und")

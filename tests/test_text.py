@@ -114,3 +114,6 @@ def test_language_model_and_scripts(spark):
     odd = spark.createDataFrame([(1, "漢字かな"), (2, "한국어"), (3, "  \n"), (4, "12"), (5, None)], "doc_id long, text string")
     assert {r.doc_id: r.language for r in G.detect(odd, model).collect()} == {1: "ja", 2: "ko", 3: "und", 4: "und", 5: "und"}
     assert spark.range(1).select(G.grams(F.lit("ABCD"))).first()[0] == ["abc", "bcd"]
+    assert spark.range(1).select(G.grams(F.lit("A\n𝄞Ñx"))).first()[0] == ["a\n𝄞", "\n𝄞ñ", "𝄞ñx"]
+    nothing = G.train(spark.createDataFrame([(None, "abc"), ("en", None), ("en", "ab")], "lang string, text string"))
+    assert {r.doc_id: r.language for r in G.detect(odd, nothing).collect()} == {1: "ja", 2: "ko", 3: "und", 4: "und", 5: "und"}
