@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import let
 from marginalia.session import materialise
 
 KANA = r"[\u3040-\u30FF]"
@@ -20,27 +19,13 @@ def grams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
-def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys, gram, n: the different trigrams of each row's text, counted inside the row."""
-    def runs(sorted_grams: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(sorted_grams)),
-            lambda i: (i == F.size(sorted_grams)) | (i == 0) | (F.get(sorted_grams, i) != F.get(sorted_grams, i - 1)))
-        return let(starts, lambda at: F.transform(
-            F.sequence(F.lit(0), F.size(at) - 2),
-            lambda k: F.struct(F.get(sorted_grams, F.get(at, k)).alias("gram"), (F.get(at, k + 1) - F.get(at, k)).alias("n"))))
-
-    found = let(F.sort_array(grams(F.col("text"))), lambda g: F.when(F.size(g) > 0, let(g, runs)))
-    return rows.select(*keys, F.explode(found).alias("g")).select(*keys, "g.gram", "g.n")
-
-
 def train(samples: DataFrame) -> DataFrame:
     """gram, scores (log probabilities, one a language), langs (the languages in that order) from (lang, text).
 
     Every trigram of the samples is in the model. Add-one smoothing. Texts without a language teach nothing.
     """
-    kept = materialise(
-        counted(samples.filter(F.col("lang").isNotNull()), ["lang"]).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    seen = samples.filter(F.col("lang").isNotNull()).select("lang", F.explode(grams(F.col("text"))).alias("gram"))
+    kept = materialise(seen.groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
     common = kept.select("gram").distinct()
     totals = kept.groupBy("lang").agg(F.sum("n").alias("total"))
     have = kept.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("have"))
@@ -56,9 +41,9 @@ def detect(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, language, confidence.
 
     Blank text is ``und``, kana means ``ja``, hangul means ``ko``; otherwise the best language of the
-    model, or ``und`` if its normalised probability is below one half. A text sends each of its trigrams
-    once, with its count; its scores are added up side by side, a column a language. Without any language
-    learned all other texts are ``und``.
+    model, or ``und`` if its normalised probability is below one half. Trigrams meet the model as
+    they are read and their scores are added up side by side, a column a language, before a text's sums
+    are shuffled. Without any language learned all other texts are ``und``.
     """
     rows = docs.select("doc_id", "text")
     script = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "und").when(F.col("text").rlike(KANA), "ja").when(F.col("text").rlike(HANGUL), "ko")
@@ -66,9 +51,9 @@ def detect(docs: DataFrame, model: DataFrame) -> DataFrame:
     known = model.select("langs").first()
     if known is None:
         return marked.select("doc_id", F.coalesce("script", F.lit("und")).alias("language"), F.lit(None).cast("double").alias("confidence"))
-    asked = counted(marked.filter("script is null"), ["doc_id"])
+    asked = marked.filter("script is null").select("doc_id", F.explode(grams(F.col("text"))).alias("gram"))
     sums = asked.join(model.select("gram", "scores"), "gram").groupBy("doc_id").agg(*[
-        F.sum(F.get("scores", F.lit(i)) * F.col("n")).alias(f"_s{i}") for i in range(len(known.langs))])
+        F.sum(F.get("scores", F.lit(i))).alias(f"_s{i}") for i in range(len(known.langs))])
     each = F.array(*[F.struct(F.col(f"_s{i}").alias("score"), F.lit(lang).alias("lang")) for i, lang in enumerate(known.langs)])
     best = sums.withColumn("b", F.array_max(each))
     odds = reduce(Column.__add__, [F.exp(F.col(f"_s{i}") - F.col("b.score")) for i in range(len(known.langs))])

@@ -28,6 +28,7 @@ CONTEXT_CHUNKS, TOKEN_BUDGET = 8, 4500
 BLOCK_QUESTIONS = 4096  # questions a task reads at a time
 STEP_QUERIES = 256
 SCORE_DIGITS = 12
+HEAD, TRIES = 8, 16  # characters of a seam looked up first, places tried before the prefix function
 HITS = "query_id long, kb_id string, chunk_id long, score double"
 
 
@@ -252,12 +253,18 @@ def rerank(candidates: DataFrame, make_scorer, *, threshold: float = 0.3, keep:
 def border(left: str, right: str) -> int:
     """Length of the longest end of ``left`` that ``right`` begins with, in linear time.
 
-    The prefix function of ``right`` says where to go on after a mismatch, so no character of ``left`` is read twice.
+    A few places where the first characters of ``right`` stand in ``left`` are tried one by one. If there are more,
+    the prefix function of ``right`` says where to go on after a mismatch, so no character of ``left`` is read twice.
     """
     longest = min(len(left), len(right))
     left, right = left[len(left) - longest:], right[:longest]
-    if not longest or right[0] not in left:
-        return 0
+    place = left.find(right[:HEAD])
+    for _ in range(TRIES):
+        if place < 0:
+            return next((n for n in range(min(longest, HEAD - 1), 0, -1) if left.endswith(right[:n])), 0)
+        if right.startswith(left[place:]):
+            return longest - place
+        place = left.find(right[:HEAD], place + 1)
     fall, k = [0] * longest, 0
     for i in range(1, longest):
         while k and right[i] != right[k]:
