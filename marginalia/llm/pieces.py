@@ -44,7 +44,7 @@ def prefixed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def _after_white_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+def after_white_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether the character that ends before each place is white space, by Unicode."""
     a, b, c = raw[at - 1], raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
     blank = (a <= 0x20) | (a == 0x7F)
@@ -59,7 +59,7 @@ def cut(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of pieces: each text is cut before a space or line feed that does not follow white space."""
     at = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
     at = at[at > 0]
-    at = at[~_after_white_space(raw, at)]
+    at = at[~after_white_space(raw, at)]
     first = np.zeros(len(raw) + 1, bool)
     first[at] = True
     first[edges[:-1][np.diff(edges) > 0]] = True

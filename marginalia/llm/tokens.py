@@ -8,25 +8,28 @@ an id at any place is found from the block's offset and the fixed width alone.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.pieces import worker_state
+from marginalia.llm import pieces as P
+from marginalia.llm import words as W
 from marginalia.session import scratch_path
 
 #: Ids after which a block closes; the next document opens a new one.
 BLOCK_IDS = 1 << 18
-#: Pieces of text whose ids a worker remembers over all its tasks, some 200 bytes each.
-CACHE = 500_000
+#: Pieces of text whose ids a worker remembers over all its tasks, some 60 bytes each.
+CACHE = 2_000_000
+#: Pieces that are encoded as one text.
+TOGETHER = 500
 
 _BLOCK = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()),
@@ -59,16 +62,21 @@ def unpack(packed: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-#: A run of white space of which a space is not the last, or that ends the text: there it matters what follows.
-_LONG_BLANKS = re.compile(r"\s \s|\s \Z")
-_BEFORE_WORDS = re.compile(r"(?= \S)")
+def _taken(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same list column, values and offsets, of some of its rows."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    ends = np.cumsum(sizes)
+    places = np.repeat(offsets[rows] - ends + sizes, sizes)
+    places += np.arange(len(places))
+    return flat[places], np.concatenate([[0], ends])
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer whose words begin with at most one space.
+    """Ids of texts by a byte-level BPE tokenizer that never joins across white space before a word.
 
-    Such a tokenizer never joins across a space before a word, so texts are cut there and each different
-    piece is encoded once. What the pieces give is exactly what the whole text gives.
+    Texts are cut there and each different piece is encoded once: pieces are found by a hash among sorted hashes,
+    all at once for some texts, and their bytes are compared with those remembered. What the pieces give is
+    exactly what the whole text gives. Beyond ``cache`` pieces, or 32 bytes for each, the half used most stays.
 
     With ``special_as_text`` names of special tokens are text like any other; else a text that holds such a
     name is encoded whole, as the library does by default.
@@ -80,85 +88,120 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.whole = Tokenizer.from_file(path)
-        names = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, names))) if names else None
+        special = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = special
         self.cache = cache
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, at in self.tokenizer.get_vocab().items():
             self.bytes_of[at] = len(token)  # one character of a token stands for one byte
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces; those of a space and a word are joined to longer texts and divided by their bytes."""
-        joined = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        rest = [p for p in pieces if not (len(p) > 1 and p[0] == " " and not p[1].isspace())]
-        found = dict(zip(rest, (ids.tobytes() for ids in self._encode(rest))))
-        groups = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups])):
-            ends = np.cumsum([len(p.encode()) for p in group])
-            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            raw, at = ids.tobytes(), (4 * at).tolist()
-            found.update(zip(group, (raw[a:b] for a, b in zip([0, *at], at))))
-        return found
+        # hashes in order, and the row each has in the columns of bytes, ids and uses
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ids_at = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        if len(self.keys) <= self.cache and len(self.raw) <= 32 * self.cache:
+            return
+        most = np.argsort(-self.uses, kind="stable")[: self.cache // 2]
+        stay = np.sort(most[np.cumsum(np.diff(self.raw_at)[most]) <= 16 * self.cache])
+        moved = np.full(len(self.uses), -1)
+        moved[stay] = np.arange(len(stay))
+        kept = moved[self.rows] >= 0
+        self.keys, self.rows = self.keys[kept], moved[self.rows[kept]]
+        self.raw, self.raw_at = _taken(self.raw, self.raw_at, stay)
+        self.ids, self.ids_at = _taken(self.ids, self.ids_at, stay)
+        self.uses = self.uses[stay] // 2
+
+    def _learn(self, raw: np.ndarray, at: np.ndarray, rows: np.ndarray):
+        """(order, bytes, their offsets, ids, their offsets) of some pieces, which come out as ``rows[order]``.
+
+        Pieces that begin with white space and do not end with it are joined to longer texts and divided by bytes.
+        """
+        first, last = raw[at[rows]], P.after_white_space(raw, at[rows + 1])
+        joined = ((first == 0x20) | (first == 0x0A)) & ~last
+        order, n = np.argsort(~joined, kind="stable"), int(joined.sum())
+        flat, flat_at = _taken(raw, at, rows[order])
+        cuts = np.concatenate([np.arange(0, n, TOGETHER), np.arange(n, len(rows) + 1)])
+        data, cuts = flat.tobytes(), flat_at[cuts].tolist()
+        found = self.tokenizer.encode_batch_fast(
+            [data[a:b].decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype="<u4")
+        ends = np.cumsum(self.bytes_of[ids])
+        ids_at = np.concatenate([[0], np.searchsorted(ends, flat_at[1:]) + 1])
+        if not len(ids) or ids_at[-1] != len(ids) or not np.array_equal(ends[ids_at[1:] - 1], flat_at[1:]):
+            raise ValueError("a token crosses the cut before a word")
+        return order, flat, flat_at, ids, ids_at
+
+    def _ids_of(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces ``raw[at[i]:at[i + 1]]``, one after another, and how many each has."""
+        self._forget()
+        found, first, back, times = np.unique(
+            P.hashes(raw, at[:-1], at[1:]), return_index=True, return_inverse=True, return_counts=True)
+        where = np.searchsorted(self.keys, found)
+        known = where < len(self.keys)
+        known[known] = self.keys[where[known]] == found[known]
+        rows = np.full(len(found), -1)
+        rows[known] = self.rows[where[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            order, flat, flat_at, ids, ids_at = self._learn(raw, at, first[new])
+            rows[new[order]] = len(self.uses) + np.arange(len(new))
+            self.raw_at = np.concatenate([self.raw_at, len(self.raw) + flat_at[1:]])
+            self.ids_at = np.concatenate([self.ids_at, len(self.ids) + ids_at[1:]])
+            self.raw, self.ids = np.concatenate([self.raw, flat]), np.concatenate([self.ids, ids])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.keys, self.rows = np.insert(self.keys, where[new], found[new]), np.insert(self.rows, where[new], rows[new])
+        self.uses[rows] += times
+        rows = rows[back]
+        same = np.array_equal((self.raw_at[1:] - self.raw_at[:-1])[rows], np.diff(at))
+        if same and np.array_equal(_taken(self.raw, self.raw_at, rows)[0], raw):
+            ids, ids_at = _taken(self.ids, self.ids_at, rows)
+        else:  # two pieces of one hash: none of these is taken from memory
+            order, _, _, ids, ids_at = self._learn(raw, at, np.arange(len(at) - 1))
+            ids, ids_at = _taken(ids, ids_at, np.argsort(order))
+        return ids, np.diff(ids_at)
+
+    def runs(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """The ids of each text, for runs of texts of some bytes together; a longer text comes alone. Null is empty."""
+        data, edges = W.buffers(texts)
+        named = np.zeros(len(texts), bool)
+        for name in self.special:
+            named |= pc.fill_null(pc.match_substring(texts, name), False).to_numpy(zero_copy_only=False)
+        i, n = 0, len(texts)
+        while i < n:
+            j = int(np.searchsorted(edges, edges[i] + W.SLICE, side="right")) - 1
+            j = min(max(j, i + 1), n)
+            raw, inside = data[edges[i] : edges[j]], edges[i : j + 1] - edges[i]
+            starts, _ = P.cut(raw, inside)
+            at, ids, sizes = np.append(starts, len(raw)), [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+            a = 0
+            while a < len(starts):
+                b = max(int(np.searchsorted(at, at[a] + W.SLICE, side="right")) - 1, a + 1)
+                of_run, many = self._ids_of(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                ids.append(of_run)
+                sizes.append(many)
+                a = b
+            upto = np.cumsum(np.concatenate(sizes))[np.searchsorted(starts, inside)]
+            ids = np.concatenate(ids)
+            out = [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+            for k in np.flatnonzero(named[i:j]).tolist():
+                out[k] = np.array(self.whole.encode(texts[i + k].as_py(), add_special_tokens=False).ids, dtype="<u4")
+            yield out
+            i = j
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
-        named = [i for i, text in enumerate(texts) if self.special and self.special.search(text)]
-        if not named:
-            return self._encode_pieces(texts)
-        whole = [self.whole.encode(texts[i], add_special_tokens=False).ids for i in named]
-        found = dict(zip(named, (np.array(ids, dtype="<u4") for ids in whole)))
-        rest = iter(self._encode_pieces([text for i, text in enumerate(texts) if i not in found]))
-        return [found[i] if i in found else next(rest) for i in range(len(texts))]
-
-    def _encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
-            if _LONG_BLANKS.search(text):
-                cut.append(_BEFORE_WORDS.split(text))
-            else:
-                words = text.split(" ")
-                cut.append([words[0], *map(" ".__add__, words[1:])])
-        wanted = set(chain.from_iterable(cut))
-        new = wanted.difference(self.known)
-        if new and len(self.known) > self.cache // 2:  # what was not met since the last turn is forgotten
-            self.older, self.known = self.known, {}
-            new = wanted
-        known = self.known
-        back = new.intersection(self.older)
-        known.update(zip(back, map(self.older.__getitem__, back)))
-        if len(back) < len(new):
-            known.update(self._learn(list(new.difference(back))))
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4") for pieces in cut]
+        return [ids for run in self.runs(pa.array(texts, pa.large_string())) for ids in run]
 
 
 def _encoder(path: str) -> Encoder:
-    state = worker_state()
+    state = P.worker_state()
     if ("encoder", path) not in state:
         state["encoder", path] = Encoder(path, special_as_text=False)
     return state["encoder", path]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of some characters together; a longer text comes alone."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for key, text in zip(batch.column(0), batch.column(1)):
-            text = text.as_py() or ""
-            if texts and size + len(text) > most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(key.as_py())
-            texts.append(text)
-            size += len(text)
-        if texts:
-            yield ids, texts
-
-
 def _write_blocks(path: str, end_id: int, block_ids: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,8 +215,8 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=_BLOCK.names)
 
-        for keys, texts in _texts(batches):
-            for key, ids in zip(keys, encoder.encode(texts)):
+        for batch in batches:
+            for key, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(encoder.runs(batch.column(1)))):
                 docs.append(key)
                 lengths.append(len(ids) + 1)
                 parts += (ids, end)

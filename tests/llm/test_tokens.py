@@ -45,6 +45,32 @@ def test_pieces_give_what_whole_texts_give(encoder, plain, texts):
     assert [ids.tolist() for ids in encoder.encode(texts)] == [plain(t) for t in texts]
 
 
+def test_pieces_of_one_hash_are_told_apart_by_their_bytes(plain, monkeypatch):
+    """A hash by length alone: "ab" and "cd" meet, in one call and over calls."""
+    monkeypatch.setattr(tokens.P, "hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    made = tokens.Encoder(PATH)
+    for texts in (["ab cd ef", "xy ab"], ["cd", "ab zz", "", "ab"], ["ab cd ef"]):
+        assert [ids.tolist() for ids in made.encode(texts)] == [plain(t) for t in texts]
+
+
+def test_memory_is_bounded_by_pieces_and_bytes(plain):
+    made, rng = tokens.Encoder(PATH, cache=100), random.Random(8)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.choice([2, 5, 400]))) for _ in range(40))]
+        assert made.encode(texts)[0].tolist() == plain(texts[0])
+        assert len(made.keys) <= 100 + 40 and len(made.raw) <= 32 * 100 + 41 * 401
+    assert len(made.uses) == len(made.rows) == len(made.raw_at) - 1 == len(made.ids_at) - 1
+
+
+def test_a_text_longer_than_a_slice(plain):
+    rng = random.Random(9)
+    text = "".join(rng.choice([" word", "\n\nline", " é", "  two", "\t"]) for _ in range(400_000))
+    for one in (text, "x" * 3000 + text + " "):
+        assert len(one.encode()) > tokens.W.SLICE
+        got = tokens.Encoder(PATH).encode(["before", one, "", "after"])
+        assert [g.tolist() for g in got] == [plain(t) for t in ("before", one, "", "after")]
+
+
 def test_special_strings_are_text(encoder, plain):
     text = "a <|endoftext|> b<|endoftext|>"
     assert encoder.encode([text])[0].tolist() == plain(text)
