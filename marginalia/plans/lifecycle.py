@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from marginalia.functions.arrays import each
 from marginalia.functions.vectors import half_precision, hash_embedding
 from marginalia.operators import embed as E
+from marginalia.operators import inference as I
 from marginalia.operators import jobs as J
 from marginalia.operators import versions as V
 from marginalia.plans import fixtures as fx
 from marginalia.plans.fixtures import NOW, minutes, ntz
 from marginalia.plans.text import tokens_sql
-from marginalia.session import prepare
+from marginalia.session import prepare, scratch_path
 from marginalia.sources.tables import table
 
 EXTRA = {
@@ -160,6 +161,29 @@ def emb_02_batch_inference(spark, d):
     return out.select("chunk_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0].cast("double"), 4).alias("first"), F.round(total, 4).alias("total"))
 
 
+def _refusing(make_model, every):
+    """The model, but for texts of some lengths, at which its call fails."""
+    def make():
+        predict = make_model()
+
+        def refuse(texts):
+            if any(len(text) % every == 0 for text in texts):
+                raise ValueError("no vectors for this batch")
+            return predict(texts)
+
+        return refuse
+    return make
+
+
+def emb_02_resumed_inference(spark, d):
+    """The first run's model refuses some batches; the second run computes those and no other."""
+    home, pending = scratch_path(spark, "vectors"), _pending(spark, d)
+    for make in (_refusing(E.word_model(64), 9), E.word_model(64)):
+        out = I.embed_missing(pending, make, home, model="m", version=1, waves=2)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return out.select("chunk_id", "run", F.size("vector").alias("dims"), F.round(F.col("vector")[0].cast("double"), 4).alias("first"), F.round(total, 4).alias("total"))
+
+
 def emb_03_pending_chunks(spark, d):
     return _pending(spark, d).select("chunk_id", "content")
 
@@ -202,7 +226,7 @@ QUERIES = {f.__name__: f for f in (
     ver_03_purged_count, ver_04_reembed_coverage, ver_05_kept_documents, ver_05_kept_chunks, ver_05_kept_vectors,
     job_01_job_ledger, job_02_resume_points, job_03_status_moves, job_04_stuck_documents, job_05_can_reingest,
     job_06_stuck_answers, job_07_failure_report, job_07_failures, job_08_retry_schedule, emb_01_hash_embedding,
-    emb_02_batch_inference, emb_03_pending_chunks, emb_04_upsert_vectors, emb_05_wrong_dimensions, emb_06_distinct_texts,
+    emb_02_batch_inference, emb_02_resumed_inference, emb_03_pending_chunks, emb_04_upsert_vectors, emb_05_wrong_dimensions, emb_06_distinct_texts,
     emb_07_lookup_models, emb_08_half_precision, emb_09_embedding_runs,
 )}
 
@@ -278,6 +302,14 @@ c as (select chunk_id, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as place,
 v as (select chunk_id, place, n / sqrt(sum(n * n) over (partition by chunk_id)) as x from c)
 select p.chunk_id, 64 as dims, round(coalesce(max(x) filter (place = 0), 0.0)::float::double, 4) as first, round(coalesce(sum(x::float::double), 0.0), 4) as total
 from p left join v using (chunk_id) group by p.chunk_id""",
+    "emb_02_resumed_inference": rf"""
+with p as ({_PENDING}),
+b as (select doc_id, doc_version, seq // 64 as n, max((length(content) % 9 = 0)::int)::int as run from p group by all),
+w as (select chunk_id, unnest(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) as word from p),
+c as (select chunk_id, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as place, count(*) as n from w group by 1, 2),
+v as (select chunk_id, place, n / sqrt(sum(n * n) over (partition by chunk_id)) as x from c)
+select p.chunk_id, any_value(run) as run, 64 as dims, round(coalesce(max(x) filter (place = 0), 0.0)::float::double, 4) as first, round(coalesce(sum(x::float::double), 0.0), 4) as total
+from p join b on b.doc_id = p.doc_id and b.doc_version = p.doc_version and b.n = p.seq // 64 left join v using (chunk_id) group by p.chunk_id""",
     "emb_03_pending_chunks": f"select chunk_id, content from ({_PENDING})",
     "emb_04_upsert_vectors": """
 with s as (select chunk_id, model, embedding_version, vector[1]::double as head from fx_embedding),
