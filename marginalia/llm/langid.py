@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +20,15 @@ from marginalia.llm import words as W
 from marginalia.llm.pieces import worker_state
 from marginalia.session import materialise
 
-#: Labelled documents a language is learned from, and the longest text among them.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 200_000
-#: Log frequencies in a model, at most; with more, half as many documents are learned from.
+#: Labelled documents a language is learned from.
+SAMPLE_ROWS = 2000
+#: A longer text counts as much as one of so many characters, so that no single document speaks for its language.
+FULL_CHARS = 2000
+#: Runs of more letters are known by their n-grams alone.
+LONGEST_WORD = 100
+#: Counts are whole numbers of this share of one, so that their sums do not depend on order.
+_UNIT = 1 << 20
+#: Log frequencies in a model; beyond that the words and n-grams counted least are left out.
 MAX_CELLS = 24_000_000
 LENGTHS = (4, 3, 2, 1)
 _SLICE = 1 << 18
@@ -119,27 +126,54 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = batch.column(0).to_pylist()
         names = sorted(set(languages))
         number = np.array([names.index(x) for x in languages])
-        for numbers, parts in _pieces(batch.column(1).to_pylist()):
+        texts = batch.column(1).to_pylist()
+        weight = np.array([max(1, _UNIT * FULL_CHARS // max(FULL_CHARS, len(t or ""))) for t in texts], dtype=np.float64)
+        for numbers, parts in _pieces(texts):
             flat = _flat(numbers, parts)
             for k, name in enumerate(names):
                 own = number[flat.rows] == k if len(flat.rows) else np.zeros(0, bool)
                 if not own.any():
                     continue
-                kinds = {0: flat.hashes[own]}
-                kinds |= {n: _grams(flat.total, flat.starts[own], flat.ends[own], n)[0] for n in LENGTHS}
-                for kind, hashes in kinds.items():
-                    hashes, n = np.unique(hashes, return_counts=True)
+                mine = weight[flat.rows[own]]
+                short = np.flatnonzero((flat.ends - flat.starts)[own] <= LONGEST_WORD)
+                kinds = {0: (flat.hashes[own][short], short)}
+                kinds |= {n: _grams(flat.total, flat.starts[own], flat.ends[own], n) for n in LENGTHS}
+                for kind, (hashes, word) in kinds.items():
+                    hashes, place = np.unique(hashes, return_inverse=True)
+                    n = np.bincount(place, weights=mine[word], minlength=len(hashes))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(hashes), pa.string()), pa.array([kind] * len(hashes), pa.int32()),
                          pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=_COUNTS.names)
 
 
-def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
-          max_cells: int = MAX_CELLS) -> Model:
+def _commonest(counted: DataFrame, most: int) -> DataFrame:
+    """Counts of some ``most`` words and n-grams that were counted most in all languages together.
+
+    Of the least count that still has a place, as many as there is room for, chosen by a hash.
+    """
+    totals = counted.groupBy("kind", "hash").agg(F.sum("n").alias("total"))
+    steps = totals.groupBy(F.floor(F.log("total") * 32).alias("step")).agg(F.count("*").alias("size"))
+    sizes = sorted(((r.step, r.size) for r in steps.collect()), reverse=True)  # some 1,400 steps hold every long
+    if sum(size for _, size in sizes) <= most:
+        return counted
+    room, last, share = most, None, 0.0
+    for step, size in sizes:
+        last, share = step, min(1.0, room / size)
+        room -= size
+        if room <= 0:
+            break
+    step, chance = F.floor(F.log("total") * 32), F.pmod(F.xxhash64("kind", "hash"), F.lit(1 << 30)) / (1 << 30)
+    kept = totals.filter((step > last) | ((step == last) & (chance < share)))
+    return counted.join(kept.select("kind", "hash"), ["kind", "hash"], "left_semi")
+
+
+def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS) -> Model:
     """Learn from rows of ``docs`` (doc_id, text, lang); those without text, lang or doc_id are passed over.
 
-    Word and n-gram frequencies come from about ``sample_rows`` rows of each language, chosen by a hash of
-    their ids, of at most ``sample_chars`` characters; the languages' shares come from all rows.
+    Word and n-gram frequencies come from the whole texts, however long, of about ``sample_rows`` rows of each
+    language, chosen by a hash of their ids; counts of texts beyond ``FULL_CHARS`` characters are scaled down to that
+    weight, and runs of over ``LONGEST_WORD`` letters are learned by n-grams alone. The languages' shares come from all rows. A model has some ``max_cells``
+    numbers, one for each language and word or n-gram: beyond that the rarest are left out.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.dropna()
@@ -148,25 +182,20 @@ def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int
     if not languages:
         return Model([], np.zeros(0), {})
     size_of = F.create_map(*[F.lit(v) for r in shares for v in (r.lang, r.rows)])
-    while True:
-        chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-        sample = rows.filter(F.length("text") <= sample_chars).filter(
-            chance * F.try_element_at(size_of, F.col("lang")) < sample_rows).select("lang", "text")
-        counted = materialise(
-            sample.mapInArrow(_count, _COUNTS).groupBy("lang", "kind", "hash").agg(F.sum("n").cast("long").alias("n")),
-            "language-counts")
-        if sample_rows <= 1 or counted.select("kind", "hash").distinct().count() * len(languages) <= max_cells:
-            break
-        sample_rows //= 2
-    found = counted.toArrow()
-    lang = np.array([languages.index(x) for x in found["lang"].to_pylist()], dtype=np.int64)
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    sample = rows.filter(chance * F.try_element_at(size_of, F.col("lang")) < sample_rows).select("lang", "text")
+    counted = materialise(
+        sample.mapInArrow(_count, _COUNTS).groupBy("lang", "kind", "hash").agg(F.sum("n").cast("long").alias("n")),
+        "language-counts")
+    found = _commonest(counted, max(1, max_cells // len(languages))).toArrow()
+    lang = pc.index_in(found["lang"], value_set=pa.array(languages, found["lang"].type)).to_numpy()
     kind, keys, n = (found[c].to_numpy() for c in ("kind", "hash", "n"))
     tables = {}
     for k in (0, *LENGTHS):
         of = kind == k
         known, place = np.unique(keys[of].view(np.uint64), return_inverse=True)
         counts = np.full((len(known), len(languages)), 0.1)
-        np.add.at(counts, (place, lang[of]), n[of])
+        np.add.at(counts, (place, lang[of]), n[of] / _UNIT)
         tables[k] = known, np.log(counts / counts.sum(axis=0)).astype(np.float32)
     return Model(languages, np.log(sizes / sizes.sum()), tables)
 

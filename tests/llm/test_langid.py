@@ -93,3 +93,28 @@ def test_odd_rows(spark):
 def test_smaller_sample_when_the_model_is_large(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert len(langid.train(docs, max_cells=60_000).tables[0][0]) < len(langid.train(docs).tables[0][0])
+
+
+def test_languages_whose_texts_are_all_long(spark):
+    said = {"en": "the cat and the dog sat on the mat ", "fr": "le chat et le chien sont dans la maison "}
+    rows = [(i, said[lang] * 7000, lang) for i, lang in enumerate(["en", "fr"] * 5)]
+    assert min(len(t) for _, t, _ in rows) > 200_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs), keep=("doc_id", "lang")).collect()
+    assert len(got) == 10 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_the_rarest_are_left_out(spark):
+    """Words counted n times for n = 1 to 200: a small model keeps those counted most, and about as many as it may."""
+    name = lambda n: "".join(chr(97 + (n // 26**k) % 26) for k in range(6))
+    rows = [(n, f"{name(n * 7919)} " * n, "en") for n in range(1, 201)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sum(len(keys) for keys, _ in langid.train(docs).tables.values())
+    counted = spark.createDataFrame([("en", 0, n, n) for n in range(1, 201)], langid._COUNTS)
+    kept = {r.n for r in langid._commonest(counted, 50).collect()}
+    assert 45 <= len(kept) <= 55 and set(range(160, 201)) <= kept and max(range(1, 201)) in kept
+    assert langid._commonest(counted, 200).count() == 200
+    ones = spark.createDataFrame([("en", 0, n, 1) for n in range(2000)], langid._COUNTS)
+    assert 400 <= langid._commonest(ones, 500).count() <= 600
+    small = sum(len(keys) for keys, _ in langid.train(docs, max_cells=300).tables.values())
+    assert 200 <= small <= 400 < whole
