@@ -160,6 +160,12 @@ def src_12_web_pages(spark, d):
     return H.web_pages(table(prepare(spark), d, "pages"))
 
 
+def src_12_article_text(spark, d):
+    """Navigation is left in the pages: its links are seen by their density."""
+    tags = tuple(t for t in H.DROPPED if t != "nav")
+    return table(prepare(spark), d, "pages").select("page_id", H.article_text(F.col("html"), tags).alias("article"))
+
+
 def src_12_same_site(spark, d):
     return H.same_site(table(prepare(spark), d, "pages"), "http://blog.example.org", 1).select("page_id", "url")
 
@@ -173,7 +179,7 @@ def cln_07_languages(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     src_05_markdown_blocks, src_07_page_lines_to_blocks, src_08_outside_tables, src_09_sheet_blocks, src_10_markdown_tables,
-    src_12_web_pages, src_12_same_site, cln_07_languages,
+    src_12_web_pages, src_12_article_text, src_12_same_site, cln_07_languages,
 )}
 
 
@@ -189,6 +195,19 @@ def _main_text_sql(html: str) -> str:
     return rf"trim(regexp_replace({tidy}, '^\n+|\n+$', '', 'g'))"
 
 
+def _marked_sql(html: str) -> str:
+    text = rf"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "header", "footer", "aside", "form", "noscript", "head"):
+        close = rf"(?:</{tag}\s*>|\z)" if tag in ("script", "style") else rf"</{tag}\s*>"
+        text = rf"regexp_replace({text}, '(?is)<{tag}\b[^>]*>.*?{close}', '', 'g')"
+    breaks = "(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|table|tr|article|section|main|blockquote|pre|td|th)\\b[^>]*>"
+    for pattern, made in ((r"(?i)<a\b[^>]*>", "chr(2)"), (r"(?i)</a\s*>", "chr(3)"), (breaks, "chr(10)"), ("<[^>]*>", "''")):
+        text = f"regexp_replace({text}, '{pattern}', {made}, 'g')"
+    for name, shown in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{shown}')"
+    return text
+
+
 _CELL = "trim(replace(replace({c}, '|', '\\|'), chr(10), '<br>'))"
 
 ORACLES = {
@@ -218,6 +237,19 @@ select l_orderkey, case when any_value(wide) = 1 then '| no | flag |  |' || chr(
 from r join w using (l_orderkey) group by 1""",
     "src_12_web_pages": f"""
 select page_id, url_key, {_main_text_sql('html')} as main_text, row_number() over (partition by url_key order by page_id) > 1 as is_duplicate from wx_key""",
+    "src_12_article_text": rf"""
+with m as (select page_id, {_marked_sql('html')} as t from pages),
+c as (select page_id, string_split(t, chr(2)) as p from m),
+l as (select page_id, string_split(array_to_string(list_transform(p, lambda x, i: case when i = 1 then replace(x, chr(3), '')
+    else chr(2) || replace(split_part(x, chr(3), 1), chr(10), chr(3) || chr(10) || chr(2)) || chr(3) || replace(substr(x, length(split_part(x, chr(3), 1)) + 2), chr(3), '') end), ''), chr(10)) as lines from c),
+u as (select page_id, unnest(lines) as line, generate_subscripts(lines, 1) as n from l),
+w as (select page_id, n, trim(regexp_replace(translate(line, chr(2) || chr(3), ''), '[ \t\r]+', ' ', 'g')) as text,
+  array_to_string(regexp_extract_all(line, '\x02([^\x03]*)\x03', 1), ' ') as links from u),
+s as (select page_id, n, text, len(regexp_extract_all(text, '[^ ]+')) as words, len(regexp_extract_all(links, '[^ \t\r]+')) as linked from w where text <> ''),
+a as (select *, lag(words) over o as pw, lag(linked) over o as pl, lead(words) over o as nw from s window o as (partition by page_id order by n)),
+k as (select * from a where linked * 3 <= words and case when pw is null or pl * 9 <= pw * 5
+  then words > 16 or coalesce(nw, 0) > 15 or coalesce(pw, 0) > 4 else words > 40 or coalesce(nw, 0) > 17 end)
+select p.page_id, coalesce(string_agg(text, chr(10) order by n), '') as article from pages p left join k using (page_id) group by p.page_id""",
     "src_12_same_site": r"""
 select page_id, url from pages where regexp_matches(lower(url), '^https?://blog\.example\.org([/?#:]|$)')
   and len(list_filter(string_split(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(?i)https?://[^/]*(/.*)?$', 1), '/'), lambda s: s <> '')) <= 1""",

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -166,6 +167,60 @@ def test_page_text_of_references_and_open_ends(spark):
     assert got == {0: "a A😀©é &nope; &#66; \ufffd \ufffd &", 1: "one", 2: "a", 3: "yz", 4: None}
 
 
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+
+
+def _article(parts):
+    """The rule over [(tag, [(text, is link)])], in plain Python."""
+    runs = [(" ".join(t for t, _ in runs), sum(len(t.split()) for t, _ in runs), sum(len(t.split()) for t, link in runs if link)) for _, runs in parts]
+    runs = [r for r in runs if r[1]]
+    out = []
+    for i, (text, words, linked) in enumerate(runs):
+        _, before, before_linked = runs[i - 1] if i else ("", 0, 0)
+        after = runs[i + 1][1] if i + 1 < len(runs) else 0
+        if linked / words > 1 / 3:
+            continue
+        if not before or before_linked / before <= 5 / 9:
+            good = words > 16 or after > 15 or before > 4
+        else:
+            good = words > 40 or after > 17
+        if good:
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_articles_by_rule(spark):
+    """Random pages of links and texts of every size around the rule's limits."""
+    rng, pages = random.Random(4), []
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(0, 8)):
+            runs = [(" ".join(["word"] * rng.choice([1, 2, 3, 4, 5, 9, 15, 16, 17, 18, 40, 41])), rng.random() < 0.4) for _ in range(rng.randint(0, 3))]
+            parts.append((rng.choice(["p", "div", "li", "h2", "td"]), runs))
+        pages.append(parts)
+    html = ["".join(f"<{tag} class=x>" + " ".join(f'<a href="/x">{t}</a>' if link else f"<b>{t}</b>" for t, link in runs) + f"</{tag}>" for tag, runs in parts) for parts in pages]
+    rows = spark.createDataFrame(list(enumerate(html)), "i int, html string")
+    got = {r.i: r.t for r in rows.select("i", H.article_text(F.col("html")).alias("t")).collect()}
+    assert got == {i: _article(parts) for i, parts in enumerate(pages)}
+    assert sum(t != "" for t in got.values()) > 50
+
+
+def test_article_pages(spark):
+    """Boilerplate links outside ``nav``, links around blocks, open links, marks and references, nothing at all."""
+    menu = "".join(f'<li><a href="/{i}">Topic number {i}</a></li>' for i in range(9))
+    pages = [
+        f"<ul>{menu}</ul><h1>A title of five words</h1><p>{LONG}</p><p>See <a href=/x>this page</a> for {LONG}</p><div><a href=/y>Read more</a> | <a href=/z>Share</a></div>",
+        f"<a href=/x><div>{LONG}</div><p>{LONG}</p></a><p>{LONG} end</p>",
+        f"<p>{LONG}</p><p><a href=/x>open {LONG}",
+        f"<p>\x02{LONG}\x03 &#2;&#x03; &lt;a&gt; &amp;</p>", "", "<p> </p>", None, "short",
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r.i: r.t for r in rows.select("i", H.article_text(F.col("html")).alias("t")).collect()}
+    assert got == {
+        0: f"A title of five words\n{LONG}\nSee this page for {LONG}", 1: "", 2: LONG, 3: f"{LONG} \ufffd\ufffd <a> &",
+        4: "", 5: "", 6: None, 7: ""}
+
+
 def test_objects_and_foreign_keys(spark, tmp_path):
     (tmp_path / "tenant-a" / "kb" / "k1").mkdir(parents=True)
     (tmp_path / "tenant-a" / "kb" / "k1" / "7").write_bytes(b"\x00abc")
