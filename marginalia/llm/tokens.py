@@ -27,7 +27,7 @@ from marginalia.session import scratch_path
 #: Ids after which a block closes; the next document opens a new one.
 BLOCK_IDS = 1 << 18
 #: Pieces of text whose ids a worker remembers over all its tasks, some 60 bytes each.
-CACHE = 2_000_000
+CACHE = 1_000_000
 #: Pieces that are encoded as one text.
 TOGETHER = 500
 
@@ -87,9 +87,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_file(path)
-        special = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = special
+        self.path, self.whole = path, None
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = cache
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, at in self.tokenizer.get_vocab().items():
@@ -124,9 +123,11 @@ class Encoder:
         flat, flat_at = _taken(raw, at, rows[order])
         cuts = np.concatenate([np.arange(0, n, TOGETHER), np.arange(n, len(rows) + 1)])
         data, cuts = flat.tobytes(), flat_at[cuts].tolist()
-        found = self.tokenizer.encode_batch_fast(
-            [data[a:b].decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype="<u4")
+        texts, parts = [data[a:b].decode() for a, b in zip(cuts, cuts[1:])], []
+        for i in range(0, len(texts), 16):  # what the library returns is far larger than the ids
+            found = self.tokenizer.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)
+            parts.append(np.fromiter(chain.from_iterable(e.ids for e in found), dtype="<u4"))
+        ids = np.concatenate(parts)
         ends = np.cumsum(self.bytes_of[ids])
         ids_at = np.concatenate([[0], np.searchsorted(ends, flat_at[1:]) + 1])
         if not len(ids) or ids_at[-1] != len(ids) or not np.array_equal(ends[ids_at[1:] - 1], flat_at[1:]):
@@ -186,6 +187,7 @@ class Encoder:
             ids = np.concatenate(ids)
             out = [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
             for k in np.flatnonzero(named[i:j]).tolist():
+                self.whole = self.whole or type(self.tokenizer).from_file(self.path)
                 out[k] = np.array(self.whole.encode(texts[i + k].as_py(), add_special_tokens=False).ids, dtype="<u4")
             yield out
             i = j
