@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions.shared import TopHits, spread_of
 from marginalia.functions.vectors import hash_embedding
 from marginalia.operators import citations as A
 from marginalia.operators import context as P
@@ -47,6 +48,36 @@ def test_exact_search_by_every_route(spark, corpus, monkeypatch):
     assert found() == want
 
 
+def test_hits_handed_on_do_not_grow_with_the_vectors_files(spark, corpus, monkeypatch):
+    """However many tasks the vectors come from, a question hands on k hits a base, here from one part."""
+    queries, vectors, _, _ = corpus
+    monkeypatch.setattr(R, "W", type("Spy", (), {"partitionBy": staticmethod(lambda *a: type("O", (), {"orderBy": staticmethod(lambda *b: None)}))}))
+    monkeypatch.setattr(R.F, "row_number", lambda: type("N", (), {"over": staticmethod(lambda w: F.lit(1))}))
+    found = R.nearest_chunks(queries, vectors.repartition(23, "chunk_id"), 5).groupBy("query_id", "kb_id").count()
+    assert found.agg(F.max("count")).first()[0] == 5
+
+
+def test_best_rows_are_those_of_a_sort():
+    """Offered in pieces, with ties and scores that are none, the best of each question are kept."""
+    rng = np.random.default_rng(4)
+    scores, ids = rng.integers(-1, 6, (700, 30)).astype(float), rng.permutation(700)
+    scores[scores < 0] = -np.inf
+    scores[:, 3] = -np.inf
+    top = TopHits(30, 9, 6, 0.0)
+    for at in range(0, 700, 60):
+        top.offer(scores[at:at + 60], ids[at:at + 60])
+    got = sorted(zip(*(x.tolist() for x in top.best())))
+    want = [(q, int(i), s) for q in range(30) for s, i in sorted(((s, i) for s, i in zip(scores[:, q], ids) if s >= 0), key=lambda x: (-x[0], x[1]))[:9]]
+    assert got == sorted(want)
+
+
+def test_few_questions_are_dealt_with_parts_of_what_is_searched():
+    assert spread_of(10, 1000, 8, 64, 100) == (5, 2)
+    assert spread_of(1, 10**6, 8, 64, 100) == (1, 8)
+    assert spread_of(10**6, 10**6, 8, 16_384, 100) == (62, 1)
+    assert spread_of(0, 0, 8, 64, 100) == (1, 1)
+
+
 def test_no_questions_give_no_hits(corpus):
     queries, vectors, _, _ = corpus
     assert R.nearest_chunks(queries.filter("query_id < 0"), vectors, 3).count() == 0
@@ -159,6 +190,41 @@ def test_lexical_blocks_agree(spark, monkeypatch):
     assert rows() == one and len(one) == 48
 
 
+def test_lexical_search_of_parts_is_plain_bm25(spark, monkeypatch):
+    """Common and rare words, parts of the texts and blocks of questions, against sums in plain Python."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    draw = lambda n: " ".join(rng.choice(words, n, p=np.arange(1, 41) / 820))
+    texts, asked = {i: draw(rng.integers(0, 30)) for i in range(200)}, {i: draw(5) for i in range(30)}
+    docs = {i: t.split() for i, t in texts.items()}
+    average = sum(map(len, docs.values())) / len(docs)
+    df = {w: sum(w in d for d in docs.values()) for w in words}
+
+    def score(question, d):
+        return round(sum(np.log(1 + (200 - df[w] + 0.5) / (df[w] + 0.5)) * d.count(w) * 2.2 / (d.count(w) + 1.2 * (0.25 + 0.75 * len(d) / average))
+                         for w in question.split() if w in d), 6)
+
+    want = set()
+    for q, question in asked.items():
+        best = sorted((-score(question, d), i) for i, d in docs.items() if set(d) & set(question.split()))[:7]
+        want |= {(q, i, -s, rank + 1) for rank, (s, i) in enumerate(best)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, question string")
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, content string")
+    for block, part, common in ((4096, 16_384, 1 / 256), (3, 10, 0.5), (50, 10, 0.0)):
+        monkeypatch.setattr(L, "BLOCK_QUESTIONS", block)
+        monkeypatch.setattr(L, "PART_TEXTS", part)
+        monkeypatch.setattr(L, "COMMON", common)
+        got = {(r.query_id, r.chunk_id, round(r.bm25, 6), r["rank"]) for r in L.lexical_hits(queries, chunks, 7).collect()}
+        assert got == want
+
+
+def test_words_of_one_hash_get_another_seed(spark, monkeypatch):
+    true_hash = F.xxhash64
+    monkeypatch.setattr(L.F, "xxhash64", lambda word, seed: F.when(seed < 2, F.lit(7)).otherwise(true_hash(word, seed)))
+    seed, hashed = L._hashed(spark.createDataFrame([("a",), ("b",)], "term string"))
+    assert seed == 2 and hashed.select("hash").distinct().count() == 2
+
+
 def test_citations_unmatched_and_repeated(spark):
     answers = spark.createDataFrame([(1, 5, "a [c:2] b [c:9] [c:2] [c:01] [c:9] [c:1] [c:]"), (2, 5, "plain")], "message_id long, conversation_id long, content string")
     context = spark.createDataFrame([(5, 1, 11, "x" * 300), (5, 2, 12, " y ")], "conversation_id long, n int, chunk_id long, content string")
