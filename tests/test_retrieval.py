@@ -108,6 +108,22 @@ def test_graph_search(spark, corpus, monkeypatch):
     assert G.build_graph(keyless).count() == 0
 
 
+def test_graphs_are_searched_after_other_functions_ran(spark, corpus):
+    """Tasks carry what they call, not whole modules: a pandas function of ``retrieve`` in use cannot be pickled."""
+    queries, vectors, _, _ = corpus
+    seam = spark.createDataFrame([(1, 7, 0, "ab"), (1, 7, 1, "bc")], "query_id long, doc_id long, seq int, content string")
+    assert R.merge_adjacent(seam).first()["passage"] == "abc"
+    assert G.approximate_chunks(queries, vectors, 5).count() > 0
+
+
+def test_a_wide_beam_compares_all():
+    rng = np.random.default_rng(9)
+    stored, asked = rng.normal(size=(900, 12)), rng.normal(size=(20, 12))
+    unit, asked = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (stored, asked))
+    _, score = G.beam_search(asked, unit, G.neighbour_links(unit), np.arange(0, 900, 16), 40)
+    assert score.shape == (20, 900) and np.allclose(score, asked @ unit.T)
+
+
 def test_questions_near_stored_vectors_are_found_by_a_few_steps():
     """Clustered vectors: a beam far narrower than the graph finds nearly all, and meets few of the vectors."""
     rng = np.random.default_rng(5)
