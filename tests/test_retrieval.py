@@ -241,6 +241,16 @@ def test_words_of_one_hash_get_another_seed(spark, monkeypatch):
     assert seed == 2 and hashed.select("hash").distinct().count() == 2
 
 
+def test_what_has_no_text_or_vector_is_not_found(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "b c")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(7, "b"), (8, None)], "query_id long, question string")
+    assert [(r.query_id, r.chunk_id) for r in L.lexical_hits(asked, texts, 5).orderBy("chunk_id").collect()] == [(7, 1), (7, 3)]
+    vectors = spark.createDataFrame([(1, "k", "t", [1.0, 0.0]), (2, "k", "t", None)], "chunk_id long, kb_id string, tenant_id string, vector array<double>")
+    queries = spark.createDataFrame([(7, "t", [1.0, 0.0]), (8, "t", None)], "query_id long, tenant_id string, vector array<double>")
+    for found in (R.nearest_chunks(queries, vectors, 5), G.approximate_chunks(queries, vectors, 5)):
+        assert [(r.query_id, r.chunk_id, r.score) for r in found.collect()] == [(7, 1, 1.0)]
+
+
 def test_citations_unmatched_and_repeated(spark):
     answers = spark.createDataFrame([(1, 5, "a [c:2] b [c:9] [c:2] [c:01] [c:9] [c:1] [c:]"), (2, 5, "plain")], "message_id long, conversation_id long, content string")
     context = spark.createDataFrame([(5, 1, 11, "x" * 300), (5, 2, 12, " y ")], "conversation_id long, n int, chunk_id long, content string")
