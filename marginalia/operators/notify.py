@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.session import materialise
+
 # --- fixed values: channels by type, roles that get account-wide news, titles and bodies ------------------------------
 CHANNELS = {
     "document_failed": ("in_app", "email"),
@@ -15,6 +17,7 @@ CHANNELS = {
 }
 MANAGERS = ("owner", "admin")
 COLLAPSE_MINUTES = 10
+PAIRS = 1_000_000  # rows of documents and managers that one task makes, some
 KEPT_IDS = 9
 READY_KEY = ["tenant_id", "user_id", "kb_id", "slot"]
 ONE_READY, MANY_READY = " 已完成", " 份文件已完成"
@@ -65,14 +68,28 @@ def collapse_ready(events: DataFrame, minutes: int = COLLAPSE_MINUTES) -> DataFr
 
 
 def recipients(documents: DataFrame, user_roles: DataFrame, users: DataFrame) -> DataFrame:
-    """Who hears about a document: its uploader, else the tenant's active owners and admins, once each."""
+    """Who hears about a document: its uploader, else the tenant's active owners and admins, once each.
+
+    A tenant's documents meet all its managers, so the result may be far larger than both. A tenant's documents are
+    dealt to as many parts as their rows with all managers need, its managers are copied to each part, and parts are
+    spread over tasks by that number, not by their own size.
+    """
     active = users.filter(F.col("status") == "active").select("user_id")
     managers = user_roles.filter(F.col("role").isin(*MANAGERS)).join(active, "user_id", "left_semi").select(
         "tenant_id", F.col("user_id").alias("recipient")
     ).distinct()
     known = documents.filter(F.col("uploaded_by").isNotNull()).select("doc_id", F.col("uploaded_by").alias("recipient"))
     orphans = documents.filter(F.col("uploaded_by").isNull()).select("doc_id", "tenant_id")
-    return known.unionByName(orphans.join(managers, "tenant_id").select("doc_id", "recipient"))
+    managers = materialise(managers, "managers")
+    sizes = orphans.groupBy("tenant_id").agg(F.count("*").alias("_docs")).join(
+        managers.groupBy("tenant_id").agg(F.count("*").alias("_managers")), "tenant_id")
+    parts = materialise(sizes.select("tenant_id", F.ceil(F.col("_docs") * F.col("_managers") / PAIRS).alias("_parts")), "recipient-parts")
+    tasks = max(int(parts.agg(F.sum("_parts")).first()[0] or 1), documents.sparkSession.sparkContext.defaultParallelism)
+    dealt = orphans.join(parts, "tenant_id").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+    copied = managers.join(parts, "tenant_id").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    key = ["tenant_id", "_part"]
+    pairs = dealt.select("doc_id", *key).repartition(tasks, *key).join(copied.select("recipient", *key).repartition(tasks, *key), key)
+    return known.unionByName(pairs.select("doc_id", "recipient"))
 
 
 def deliveries(notifications: DataFrame, *, email_enabled: bool = True) -> DataFrame:

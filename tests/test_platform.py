@@ -47,6 +47,18 @@ def test_recipients_fall_back_to_active_managers_once(spark):
     assert sorted(map(tuple, N.recipients(docs, roles, users).collect())) == [(1, 5), (2, 7), (3, 6)]
 
 
+def test_recipients_of_one_large_tenant_are_dealt_to_tasks(spark, monkeypatch):
+    """A tenant's documents times its managers are made in pieces, and every document meets every manager once."""
+    monkeypatch.setattr(N, "PAIRS", 500)
+    docs = spark.range(400).selectExpr("id as doc_id", "'t' as tenant_id", "cast(null as long) as uploaded_by")
+    users = spark.range(50).selectExpr("id as user_id", "'active' as status")
+    roles = users.selectExpr("'t' as tenant_id", "user_id", "'admin' as role")
+    out = N.recipients(docs, roles, users)
+    assert out.distinct().count() == out.count() == 20_000
+    tasks = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) >= 15 and max(tasks) <= 4_000
+
+
 def test_mark_read_keeps_the_earliest(spark):
     notices = spark.createDataFrame([(1, 5, at(10), None), (2, 5, at(10), at(11)), (3, 6, at(10), None)], "id long, user_id long, updated_at timestamp_ntz, read_at timestamp_ntz")
     reads = spark.createDataFrame([(1, 5, at(9)), (1, 5, at(20)), (1, 5, at(15)), (2, 5, at(30)), (3, 5, at(30))], "id long, user_id long, read_ts timestamp_ntz")
