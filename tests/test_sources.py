@@ -295,3 +295,15 @@ def test_shared_folder_comes_from_the_session_or_is_refused():
     with pytest.raises(RuntimeError):
         shared_dir(session(None, "yarn", "a"))
     assert shared_dir(session(None, "local[2]", "b")) == shared_dir(session(None, "local[2]", "b"))
+
+
+def test_markdown_blocks_are_handed_on_a_few_megabytes_at_a_time():
+    """A batch of documents is not held as Python values at once, whatever its size."""
+    import pyarrow as pa
+
+    from marginalia.functions.batches import HELD_CHARS
+    from marginalia.sources.markdown import _walk_batches
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(["# a\n\n" + "x" * 400_000] * 30)], names=["doc_id", "text"])
+    sizes = [(out.num_rows, sum(len(t) for t in out.column("text").to_pylist())) for out in _walk_batches(iter([batch]))]
+    assert sum(n for n, _ in sizes) == 60 and max(chars for _, chars in sizes) < HELD_CHARS + 400_001 and len(sizes) > 4
