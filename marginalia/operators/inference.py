@@ -58,7 +58,8 @@ def embed_missing(
     a vector under ``home`` are computed. A batch whose call raises, or gives another number of rows, is kept as
     an error and stops no other batch; a rerun tries it again. Batches are dealt to ``waves`` by their names and each wave is
     written on its own, so a job that is killed loses one wave at most. Batches are spread over tasks one by
-    one, so a long document is no single task's. A NULL text is empty. Rows with the chunk_id, document and seq of
+    one, so a long document is no single task's. What is missing is decided on ids alone: a text is shuffled once a
+    run, behind a row without text that says it is asked for. ``chunks`` is read twice a wave. A NULL text is empty. Rows with the chunk_id, document and seq of
     another are computed once; a row without chunk_id is not computed. Extra columns are ignored.
     """
     spark = chunks.sparkSession
@@ -69,9 +70,10 @@ def embed_missing(
     named = batch_names(chunks, size).select(ids, "batch", "seq", F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for wave in range(waves):
         mine = named.filter(F.pmod(F.xxhash64("batch"), F.lit(waves)) == wave)
-        missing = pending_chunks(mine, stored_vectors(spark, home), model, version)
-        missing = missing.filter(F.col("chunk_id").isNotNull())
-        found = missing.repartition("batch").sortWithinPartitions("batch", "seq", "chunk_id", "_text").mapInArrow(
+        mine = mine.filter(F.col("chunk_id").isNotNull())
+        missing = pending_chunks(mine.select("chunk_id", "batch", "seq"), stored_vectors(spark, home), model, version)
+        marked = mine.unionByName(missing.withColumn("_text", F.lit(None).cast("string")))
+        found = marked.repartition("batch").sortWithinPartitions("batch", "seq", "chunk_id", "_text").mapInArrow(
             _infer(make_model, size), "chunk_id string, batch string, vector array<float>, error string")
         found.select("chunk_id", "batch", F.lit(model).alias("model"), F.lit(version).cast("int").alias("embedding_version"), "vector", "error").write.parquet(
             f"{home}/run={run}/wave={wave}")
@@ -97,9 +99,13 @@ def _infer(make_model: Callable, size: int):
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict, ids, texts, current, last = None, [], [], None, None
+        predict, ids, texts, current, last, asked = None, [], [], None, None, None
         for rows in batches:
             for chunk_id, batch, content in zip(*(rows.column(c).to_pylist() for c in ("chunk_id", "batch", "_text"))):
+                if content is None:  # sorted before the texts it asks for
+                    asked = (batch, chunk_id)
+                if content is None or asked != (batch, chunk_id):
+                    continue
                 if ids and (batch != current or len(ids) == size):
                     yield called(predict, ids, current, texts)
                     ids, texts = [], []

@@ -28,8 +28,10 @@ def supersede_chunks(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 
 def active_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks of each document's current version that are not superseded."""
-    current = documents.select("doc_id", "doc_version")
-    return chunks.filter(~F.col("superseded")).join(current, ["doc_id", "doc_version"], "left_semi")
+    current = documents.select(F.col("doc_id").alias("_doc_id"), F.col("doc_version").alias("_version"))
+    # no equality of versions: chunks that lie by document already are not shuffled again
+    same = (F.col("doc_id") == F.col("_doc_id")) & F.col("doc_version").between(F.col("_version"), F.col("_version"))
+    return chunks.filter(~F.col("superseded")).join(current, same, "left_semi")
 
 
 def purgeable_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from marginalia.operators import versions as V
 from marginalia.plans import fixtures as fx
 from marginalia.plans.fixtures import NOW, minutes, ntz
 from marginalia.plans.text import tokens_sql
-from marginalia.session import prepare, scratch_path
+from marginalia.session import materialise, prepare, scratch_path
 from marginalia.sources.tables import table
 
 EXTRA = {
@@ -177,7 +177,7 @@ def _refusing(make_model, every):
 
 def emb_02_resumed_inference(spark, d):
     """The first run's model refuses some batches; the second run computes those and no other."""
-    home, pending = scratch_path(spark, "vectors"), _pending(spark, d)
+    home, pending = scratch_path(spark, "vectors"), materialise(_pending(spark, d), "pending")
     for make in (_refusing(E.word_model(64), 9), E.word_model(64)):
         out = I.embed_missing(pending, make, home, model="m", version=1, waves=2)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))

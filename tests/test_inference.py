@@ -113,3 +113,37 @@ def test_odd_rows(spark, tmp_path, log):
     none = spark.createDataFrame([], CHUNKS)
     assert I.embed_missing(none, _model(calls), str(tmp_path / "none"), model="m", version=1).count() == 0
     assert I.stored_vectors(spark, str(tmp_path / "never")).count() == 0
+
+
+def test_only_texts_asked_for_are_computed():
+    """Texts meet a row without text that asks for them in their own task, so no join shuffles texts."""
+    import pyarrow as pa
+
+    rows = [("1", "b", None), ("1", "b", "x"), ("1", "b", "x"), ("2", "b", "yy"), ("3", "b", None), ("3", "b", None), ("3", "b", "zzz"),
+            ("1", "c", "x"), ("4", "c", None), ("4", "c", "")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("chunk_id", "batch", "_text"), r)) for r in rows[at:at + 3]],
+                                          pa.schema([(n, pa.string()) for n in ("chunk_id", "batch", "_text")])) for at in range(0, 10, 3)]
+    calls = []
+
+    def make():
+        def predict(texts):
+            calls.append(list(texts))
+            return np.array([[len(t)] for t in texts], dtype="float32")
+        return predict
+
+    got = [r for b in I._infer(make, 64)(iter(batches)) for r in b.to_pylist()]
+    assert calls == [["x", "zzz"], [""]]
+    assert [(r["chunk_id"], r["batch"], r["vector"]) for r in got] == [("1", "b", [1.0]), ("3", "b", [3.0]), ("4", "c", [0.0])]
+
+
+def test_active_chunks_stay_where_they_lie(spark):
+    """Chunks that lie by document already are not shuffled once more for their versions."""
+    from marginalia.operators.versions import active_chunks
+
+    documents = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (None, 1), (3, None)], "doc_id long, doc_version int")
+    chunks = spark.createDataFrame([(i, d, v, i % 5 == 4) for i, (d, v) in enumerate(
+        [(1, 1), (1, 2), (2, 1), (2, 2), (1, 2), (None, 1), (3, 1), (3, None)])], "chunk_id long, doc_id long, doc_version int, superseded boolean")
+    assert sorted(r.chunk_id for r in active_chunks(chunks, documents).collect()) == [1, 2]
+    lying = chunks.hint("merge").join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    plan = active_chunks(lying, documents.hint("merge"))._jdf.queryExecution().sparkPlan().toString()
+    assert "doc_version" not in plan.split("SortMergeJoin")[1].split("LeftSemi")[0]
