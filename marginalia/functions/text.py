@@ -61,13 +61,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Whether nothing is left of the text when it is stripped."""
+    return ~text.rlike(f"(?!{SPACE})(?s:.)")
+
+
 def without_invisible(text: Column) -> Column:
     return F.translate(text, INVISIBLE, "")
 
 
 def match_text(text: Column) -> Column:
-    """The form two lines are compared in: no invisible characters, white space collapsed."""
-    return F.trim(F.regexp_replace(without_invisible(text), f"{SPACE}+", " "))
+    """The form two lines are compared in: no invisible characters, white space collapsed.
+
+    Single blanks, which most white space is, are no match and need no replacement.
+    """
+    return F.trim(F.regexp_replace(without_invisible(text), rf"{SPACE}{{2,}}|(?!\x20){SPACE}", " "))
 
 
 def clean_text(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import clean_text, match_text, strip, token_estimate, unreadable_ratio
+from marginalia.functions.text import clean_text, is_blank, match_text, token_estimate, unreadable_ratio
 
 GARBLED_RATIO = 0.3
 HEADER_MAX_TOKENS = 16
@@ -43,7 +43,7 @@ def judged(blocks: DataFrame) -> DataFrame:
     ).drop("text")
     line = F.col("match_text")
     candidate = F.col("page").isNotNull() & ~table & (line != "") & (token_estimate(line) <= HEADER_MAX_TOKENS)
-    bad = (strip(F.col("clean_text")) == "") | (~table & is_garbled(F.col("clean_text")))
+    bad = is_blank(F.col("clean_text")) | (~table & is_garbled(F.col("clean_text")))
     flagged = prepared.withColumn("_candidate", candidate).withColumn("_bad", bad)
     same_line = W.partitionBy("doc_id", "match_text")
     paged = same_line.orderBy(F.col("_candidate").desc(), "page")

@@ -72,13 +72,14 @@ def detect(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, language, confidence.
 
     Blank text is ``und``, kana means ``ja``, hangul means ``ko``; otherwise the best language of the
-    model, or ``und`` if its normalised probability is below one half. A text's different
-    trigrams meet the model with their counts, and scores are added up side by side, a column a language.
-    Without any language learned all other texts are ``und``.
+    model, or ``und`` if its normalised probability is below one half. Texts are written once to the shared
+    folder, so that what makes them is not done twice. A text's different trigrams meet the model with their
+    counts, and scores are added up side by side, a column a language. Without any
+    language learned all other texts are ``und``.
     """
     rows = docs.select("doc_id", "text")
     script = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "und").when(F.col("text").rlike(KANA), "ja").when(F.col("text").rlike(HANGUL), "ko")
-    marked = rows.withColumn("script", script)
+    marked = materialise(rows.withColumn("script", script), "scripts")
     known = model.select("langs").first()
     if known is None:
         return marked.select("doc_id", F.coalesce("script", F.lit("und")).alias("language"), F.lit(None).cast("double").alias("confidence"))

@@ -120,3 +120,30 @@ def test_language_model_and_scripts(spark):
         (1, "abc", 2), (1, "bcd", 1), (1, "cda", 1), (1, "dab", 1), (None, "a\n𝄞", 1), (None, "\n𝄞ñ", 1), (None, "𝄞ñx", 1)]}
     nothing = G.train(spark.createDataFrame([(None, "abc"), ("en", None), ("en", "ab")], "lang string, text string"))
     assert {r.doc_id: r.language for r in G.detect(odd, nothing).collect()} == {1: "ja", 2: "ko", 3: "und", 4: "und", 5: "und"}
+
+
+def test_texts_to_detect_are_made_once(spark):
+    """What makes the texts, such as cleaning, runs once although their scripts and their trigrams are both needed."""
+    from marginalia.operators import language as G
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    model = G.train(spark.createDataFrame([("en", "the cat and the dog"), ("fr", "le chat et le chien")], "lang string, text string"))
+    docs = spark.createDataFrame([(1, "the dog"), (2, "le chien"), (3, None), (4, " ")], "doc_id long, text string")
+    got = G.detect(docs.coalesce(1).mapInPandas(make, docs.schema), model).collect()
+    assert {r.doc_id: r.language for r in got} == {1: "en", 2: "fr", 3: "und", 4: "und"} and made.value == 4
+
+
+def test_blank_and_collapsed_texts(spark):
+    """As stripping and collapsing every run of white space say, for all white space and line ends."""
+    texts = ["", " ", "\n", " 　", "a", " a", "​", "a  b", "a\tb", "a  b", " a b ", "a\n\nb\r", "\U0001f600 ", "\x1c \x85", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        X.is_blank(F.col("t")).alias("blank"), (X.strip(F.col("t")) == "").alias("stripped"),
+        X.match_text(F.col("t")).alias("line"), F.trim(F.regexp_replace(X.without_invisible(F.col("t")), f"{X.SPACE}+", " ")).alias("plain"))
+    for r in rows.collect():
+        assert r.blank == r.stripped and r.line == r.plain
