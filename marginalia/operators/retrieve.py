@@ -99,7 +99,8 @@ def nearest_chunks(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, *, ma
     dealt = dealt.repartitionByRange(blocks * parts, "part", "match", "query_id")
     found = dealt.mapInPandas(_search(path, k, BLOCK_QUESTIONS, STEP_QUERIES, SCORE_DIGITS), HITS)
     best = W.partitionBy("query_id", "kb_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # by question alone: what merges or counts a question's hits afterwards finds them together
+    return found.repartition("query_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _search(path: str, k: int, block: int, step: int, digits: int):
@@ -158,7 +159,8 @@ def merge_candidates(hits: DataFrame, position: Column) -> DataFrame:
     """Several ranked groups to one list per question.
 
     A chunk found twice keeps its first occurrence (earlier group, then earlier rank), not its best
-    score. Order: score descending, then the id as text.
+    score. Order: score descending, then the id as text. Hits that lie by question already, as a search leaves
+    them, are not shuffled.
     """
     first = F.min_by(F.struct("kb_id", "score"), F.struct(position, F.col("rank"))).alias("_f")
     merged = hits.groupBy("query_id", "chunk_id").agg(first).select("query_id", "chunk_id", "_f.kb_id", "_f.score")

@@ -310,3 +310,14 @@ def test_prompt_in_force(spark):
     wanted = spark.createDataFrame([("a", "k"), ("b", "k"), ("a", "j"), ("b", "nope")], "tenant_id string, key string")
     got = {(r.tenant_id, r.key): r.template for r in P.active_prompts(wanted, prompts, versions).collect()}
     assert got == {("b", "k"): "shared", ("a", "j"): "j!"}
+
+
+def test_hits_are_shuffled_once_until_they_are_merged(spark):
+    """Ranks of a base and the merged order both lie by question."""
+    rows = [(i, "t", "kb" + str(i % 2), [float(i), 1.0]) for i in range(6)]
+    stored = spark.createDataFrame(rows, "chunk_id long, tenant_id string, kb_id string, vector array<double>")
+    asked = stored.filter("chunk_id < 3").select(F.col("chunk_id").alias("query_id"), "tenant_id", "vector")
+    merged = R.merge_candidates(R.nearest_chunks(asked, stored, 2), F.col("kb_id"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.split("MapInPandas")[0].count("Exchange") == 1
+    assert merged.count() == 12
