@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,33 @@ def test_lexical_search_of_parts_is_plain_bm25(spark, monkeypatch):
         assert got == want
 
 
+def test_short_floats_decide_no_lexical_hit(spark):
+    """Sums in short floats only leave out what cannot be found; scores and order come from full ones."""
+    rng = np.random.default_rng(3)
+    known, share = np.arange(40), np.linspace(0.5, 0.0001, 40)
+    questions = pd.DataFrame({"query_id": range(9), "hash": [np.sort(rng.choice(40, 12, replace=False)) for _ in range(9)],
+                              "w": [rng.random(12) * 9 for _ in range(9)]})
+    which, words = np.nonzero(rng.random((70, 40)) < 0.4)
+    factors = rng.random(len(which)) * 2
+    plain = np.zeros((70, 9))
+    for c, word, factor in zip(which, words, factors):
+        for q in range(9):
+            plain[c, q] += factor * dict(zip(questions["hash"][q], questions["w"][q])).get(word, 0.0)
+    block = L._Block(questions, known, share)
+    rough, full = block.scores(which, words, factors, 70)
+    c, q = np.nonzero(plain)
+    assert 0 < block.common < 40 and rough.dtype == np.float32
+    assert (abs(rough - plain) <= block.error * plain).all() and abs(full(c, q) - plain[c, q]).max() < 1e-12
+
+    sizes = {i: 60_000 + i * 7 % 90 for i in range(90)}  # scores that short floats do not tell apart
+    chunks = spark.createDataFrame([(i, "a " + "x " * (n - 1)) for i, n in sizes.items()], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "a b")], "query_id long, question string")
+    found = [r.chunk_id for r in L.lexical_hits(asked, chunks, 30).orderBy("rank").collect()]
+    idf, average = np.log(1 + 0.5 / 90.5), sum(sizes.values()) / 90
+    score = lambda n: round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n / average)), 9)
+    assert found == sorted(sizes, key=lambda i: (-score(sizes[i]), i))[:30]
+
+
 def test_words_of_one_hash_get_another_seed(spark, monkeypatch):
     true_hash = F.xxhash64
     monkeypatch.setattr(L.F, "xxhash64", lambda word, seed: F.when(seed < 2, F.lit(7)).otherwise(true_hash(word, seed)))
