@@ -340,6 +340,27 @@ def test_prompt_in_force(spark):
     assert got == {("b", "k"): "shared", ("a", "j"): "j!"}
 
 
+def test_hits_are_checked_without_a_vector_a_hit(spark, monkeypatch):
+    """Wrong scores, hits out of order, ids that repeat, vectors and ids that are missing; no vector is shuffled with a hit."""
+    monkeypatch.setattr(R, "PAIRS", 2)
+    vectors = spark.createDataFrame(
+        [(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0]), (3, [1.0, -1.0]), (4, None), (5, [1.0, None]), (6, [1.0, 1.0, 1.0]), (None, [1.0, 0.0])],
+        "chunk_id long, vector array<float>")
+    queries = spark.createDataFrame(
+        [(1, [5.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 0.0]), (None, [1.0, 0.0])], "query_id long, vector array<double>")
+    half = 0.5 ** 0.5
+    found = spark.createDataFrame([
+        (1, "a", 1, 1.0, 1), (1, "a", 2, 0.5, 2), (1, "a", 3, half, 3), (1, "b", 4, 9.0, 1), (1, "b", 5, 8.0, 2), (1, "b", 6, 8.5, 3),
+        (2, "a", 2, 1.0, 1), (2, "a", 3, half, 2), (2, "b", 1, 0.5, 1), (3, "a", 1, 0.5, 1), (4, "a", 77, 0.5, 1), (4, "a", None, 0.5, 2),
+        (1, "c", 1, 1.0, 1), (1, "c", 77, 0.1, 2), (1, "c", 2, 0.0, 3), (5, "a", 1, 1.0, 1), (None, "a", 1, 1.0, 1),
+    ], "query_id long, kb_id string, chunk_id long, score double, rank int").repartition("query_id")
+    checked = R.check_hits(found, queries, vectors)
+    plan = checked._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert plan.count("Exchange") == 2  # the hits by question, and the questions' vectors
+    # question 2 stands there twice: chunk 3's second vector and chunk 1 are wrong for both copies
+    assert sorted(map(tuple, checked.collect())) == [(1, 1, 2, True), (2, 4, 0, True), (3, 0, 0, True)]
+
+
 def test_hits_are_shuffled_once_until_they_are_merged(spark):
     """Ranks of a base and the merged order both lie by question."""
     rows = [(i, "t", "kb" + str(i % 2), [float(i), 1.0]) for i in range(6)]
