@@ -135,6 +135,49 @@ def test_all_documents_teach(spark, monkeypatch):
     assert kept["pii-candidates"].agg(F.sum("label")).first()[0] == 30_000
 
 
+def test_documents_of_many_candidates_teach(spark, monkeypatch):
+    """Those of over 200 candidates as well, and in time: one has 20,000 addresses, another 20,000 that are none."""
+    kept = {}
+    monkeypatch.setattr(pii, "materialise", lambda df, name: kept.setdefault(name, materialise(df, name)))
+    rows = [(1, "mail a@b.cd " * 20_000), (2, "ip 1.2.3.999 " * 20_000), (3, "mail jérôme@b.cd, 1.2.3.4"), (4, None)]
+    pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = kept["pii-candidates"].groupBy("kind", "label", "before", "after", "named").count().collect()
+    # 0 nothing, 1 blank; all but the last follow a word that names them
+    assert sorted(map(tuple, got)) == [
+        (0.0, 1.0, 1.0, 1.0, 1.0, 20_000), (0.0, 1.0, 1.0, 4.0, 1.0, 1),
+        (1.0, 0.0, 1.0, 1.0, 1.0, 20_000), (1.0, 1.0, 1.0, 0.0, 0.0, 1)]
+
+
+def _overlap(a, b):
+    return a[0] < b[2] and b[0] < a[2]
+
+
+def test_best_of_overlapping_spans(spark):
+    """Against a look at all pairs; spans of one kind never overlap."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        spans = []
+        for kind in range(4):
+            at = 0
+            for _ in range(rng.randint(0, 9)):
+                at += rng.randint(0, 6)
+                end = at + rng.choice([1, 2, 3, 30])
+                spans.append((at, kind, end, rng.choice([0.25, 0.5, 0.75])))
+                at = end
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "i long, s array<struct<start:int,kind:int,end:int,score:double>>")
+    taken = pii._by_kind(F.col("s"))
+    asked = F.struct(F.lit(10).alias("start"), F.lit(14).alias("end"))
+    got = df.select("i", pii._best(F.col("s")).alias("b"), pii._let(taken, lambda k: F.array(
+        *[pii._meets(asked, k[kind]) for kind in pii.KINDS])).alias("m")).collect()
+    for r in got:
+        spans = dict(rows)[r.i]
+        rank = lambda s: (s[3], s[2] - s[0], -s[0], -s[1])
+        assert [tuple(s) for s in r.b] == [c for c in spans if not any(_overlap(c, s) and rank(s) > rank(c) for s in spans)]
+        assert list(r.m) == [any(s[1] == k and _overlap((10, 0, 14), s) for s in spans) for k in range(4)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd or 1.2.3.4 now"), (2, None)], "doc_id long, text string")
     got = pii.redacted(df, pii.personal_data(df))
