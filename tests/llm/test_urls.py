@@ -101,6 +101,26 @@ def test_all_urls_teach(spark):
     assert 100 < sum(len(known) for known, _ in few.grams) <= 500
 
 
+def test_no_gram_is_left_out(spark, monkeypatch):
+    """More n-grams than workers hold stay in tables: all are counted, and scores are those of a model of all."""
+    rng = random.Random(5)
+    monkeypatch.setattr(urls, "_SLICE", 2_000)
+    rows = [(i % 7 and i, "http://" + "".join(rng.choice("abcdé./") for _ in range(rng.randint(0, 30)))
+             + rng.choice([".com", ".net/es/", ".org", ""])) for i in range(400)]
+    rows += [*rows[:9], (1, None), (2, ""), (3, "http://a.com/" + "xyz" * 1_500), (4, "http://b.org/" + "zy" * 1_500)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (urls.Rule("allow", "com", ""), urls.Rule("block", "net", "/es/"))
+    held, tables = (urls.url_verdicts(df, rules, held_grams=n).collect() for n in (10**6, 100))
+    key = lambda r: repr(tuple(r)[:-1] + (round(r.score, 9),))
+    assert sorted(map(key, held)) == sorted(map(key, tables))
+    assert len({r.score for r in tables}) > 100
+    ruled = df.selectExpr("page_id", "url", "if(url like '%.com%', true, if(url like '%.net/es/', false, null)) as accepted")
+    whole, kept = urls.train(ruled), urls.train(ruled, held_grams=100)
+    assert isinstance(kept, urls.Tables) and isinstance(whole, urls.Model)
+    assert kept.grams.count() == sum(len(known) for known, _ in whole.grams)
+    assert kept.threshold == whole.threshold
+
+
 def test_threshold_parts_best():
     assert urls.threshold([(-20, 0, 4), (-5, 1, 3), (7, 0, 1), (10, 5, 0)]) == 9 / urls.STEPS
     assert urls.threshold([(3, 5, 0)]) == urls.threshold([]) == 0.0
