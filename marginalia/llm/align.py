@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm import pieces as P
-from marginalia.session import materialise
+from marginalia.session import materialise, scratch_path
 
 #: Pieces that a worker remembers, some 250 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Bytes of text after which a block of documents closes; a longer document is a block by itself.
 BLOCK_BYTES = 4 << 20
+#: Blocks that are written or read together, at most, and that a task scores, on average.
+ROW_GROUP, SCORED = 2, 2
 #: Bytes of pieces that are encoded together.
 TOGETHER = 1 << 14
 
@@ -375,7 +377,11 @@ class Alignment:
         self.tokenizers = Tokenizers(byte_level, piecewise)
         self.size_b = len(self.tokenizers.bytes_b)
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        made = materialise(docs.mapInArrow(_encode((byte_level, piecewise), block_bytes), _BLOCK), "align-blocks")
+        path = scratch_path(docs.sparkSession, "align-blocks")
+        # by its size alone a row group would be closed after a hundred blocks at the earliest
+        docs.mapInArrow(_encode((byte_level, piecewise), block_bytes), _BLOCK).write.option(
+            "parquet.block.row.count.limit", ROW_GROUP).parquet(path)
+        made = docs.sparkSession.read.schema(_BLOCK).parquet(path)
         self.blocks = made.filter("block is not null")
         self.vectors = made.filter("same is not null")
         self.irregular = materialise(
@@ -406,10 +412,11 @@ class Alignment:
         most = self.irregular.groupBy(F.floor(F.col("pair") / self.size_b).cast("long").alias("a")).agg(F.max("n").alias("n"))
         for row in most.collect():  # at most one number for each id of A
             best[row["a"]] = max(best[row["a"]], row["n"])
+        tasks = max(1, -(-self.blocks.count() // SCORED))  # more blocks make more tasks, not larger ones
         wanted = self.blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
-        seen = wanted.join(self.irregular, "pair").groupBy(F.col("block").alias("_block")).agg(
-            F.collect_list(F.struct("at", "n")).alias("seen"))
-        both = self.blocks.join(seen, F.col("block") == F.col("_block"), "left").select(
+        seen = wanted.join(self.irregular, "pair").select(F.col("block").alias("_block"), "at", "n").repartition(
+            tasks, "_block").groupBy("_block").agg(F.collect_list(F.struct("at", "n")).alias("seen"))
+        both = self.blocks.repartition(tasks, "block").join(seen, F.col("block") == F.col("_block"), "left").select(
             *[c for c in _BLOCK.names if c not in ("block", "pair_docs", "same")], F.coalesce(
                 "seen", F.array().cast("array<struct<at:int,n:bigint>>")).alias("seen"))
         return both.mapInArrow(_score(same.tolist(), best.tolist(), self.size_b), _SCORED)
